@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from . import op1_near_dedup, op9_chat, op10_exact_dedup
+from . import op1_near_dedup, op3_toxicity, op8_decontaminate, op9_chat, op10_exact_dedup
 from .common import prepare, table
 
 
-def _over(name, f):
+def _over(f, *names):
     def run(spark, sf_dir):
         prepare(spark)
-        return f(table(spark, sf_dir, name))
+        return f(*(table(spark, sf_dir, n) for n in names))
 
     return run
 
 
 QUERIES = {
-    "op1_near_dedup": _over("documents", op1_near_dedup.near_duplicates),
-    "op9_chat": _over("conversations", op9_chat.perspectives),
-    "op10_exact_dedup": _over("documents", op10_exact_dedup.exact_duplicates),
+    "op1_near_dedup": _over(op1_near_dedup.near_duplicates, "documents"),
+    "op3_toxicity": _over(op3_toxicity.toxicity, "documents", "labels"),
+    "op8_decontaminate": _over(op8_decontaminate.leaks, "documents", "benchmark"),
+    "op9_chat": _over(op9_chat.perspectives, "conversations"),
+    "op10_exact_dedup": _over(op10_exact_dedup.exact_duplicates, "documents"),
 }
 ORACLES = {"op9_chat": op9_chat.ORACLE_SQL, "op10_exact_dedup": op10_exact_dedup.ORACLE_SQL}
