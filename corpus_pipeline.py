@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratavox.llm import op1_near_dedup, op10_exact_dedup
+from stratavox.llm import op1_near_dedup, op3_toxicity, op4_bpe, op8_decontaminate, op10_exact_dedup
 from stratavox.llm.common import Scratch, prepare, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic."""
+    return op3_toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each text."""
     return op10_exact_dedup.drop_copies(docs)
@@ -18,7 +23,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_near_dedup.drop_near_copies(docs)
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return op8_decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, tokens, n_tokens, round_trip."""
+    return op4_bpe.encode(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("decontamination", decontaminate), ("byte-level BPE", bpe)]
 #: Sketches and edit distances are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_near_dedup, op3_toxicity, op8_decontaminate, op9_chat, op10_exact_dedup
+from . import op1_near_dedup, op3_toxicity, op4_bpe, op8_decontaminate, op9_chat, op10_exact_dedup
 from .common import prepare, table
 
 
@@ -17,6 +17,7 @@ def _over(f, *names):
 QUERIES = {
     "op1_near_dedup": _over(op1_near_dedup.near_duplicates, "documents"),
     "op3_toxicity": _over(op3_toxicity.toxicity, "documents", "labels"),
+    "op4_bpe": _over(op4_bpe.encode, "documents"),
     "op8_decontaminate": _over(op8_decontaminate.leaks, "documents", "benchmark"),
     "op9_chat": _over(op9_chat.perspectives, "conversations"),
     "op10_exact_dedup": _over(op10_exact_dedup.exact_duplicates, "documents"),
