@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_near_dedup, op3_toxicity, op4_bpe, op8_decontaminate, op9_chat, op10_exact_dedup
+from . import op1_near_dedup, op2_token_counts, op3_toxicity, op4_bpe, op5_quality, op6_brown_lm, op7_url_filter, op8_decontaminate, op9_chat, op10_exact_dedup
 from .common import prepare, table
 
 
@@ -16,8 +16,12 @@ def _over(f, *names):
 
 QUERIES = {
     "op1_near_dedup": _over(op1_near_dedup.near_duplicates, "documents"),
+    "op2_token_counts": _over(op2_token_counts.token_counts, "documents"),
     "op3_toxicity": _over(op3_toxicity.toxicity, "documents", "labels"),
     "op4_bpe": _over(op4_bpe.encode, "documents"),
+    "op5_quality": _over(op5_quality.quality, "documents", "labels"),
+    "op6_brown_lm": _over(op6_brown_lm.perplexities, "documents"),
+    "op7_url_filter": _over(op7_url_filter.filtered, "pages"),
     "op8_decontaminate": _over(op8_decontaminate.leaks, "documents", "benchmark"),
     "op9_chat": _over(op9_chat.perspectives, "conversations"),
     "op10_exact_dedup": _over(op10_exact_dedup.exact_duplicates, "documents"),
