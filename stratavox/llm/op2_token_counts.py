@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MODEL = os.environ.get("STRATAVOX_UNIGRAM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 BEGIN = "▁"
-CACHED = 1_000_000
+CACHED = 500_000
 TEXTS = 512
 UNIT = 1_000_000
 
@@ -108,9 +108,9 @@ def counter(path: str) -> TrieCounter:
 def _count(path: str):
     def run(texts: pa.Array) -> pa.Array:
         c = counter(path)
-        whole, out = texts.to_pylist(), []
-        for k in range(0, len(whole), TEXTS):
-            some = whole[k : k + TEXTS]
+        out = []
+        for k in range(0, len(texts), TEXTS):
+            some = texts.slice(k, TEXTS).to_pylist()
             out += [(None, None) if t is None else x for t, x in zip(some, c.counts([t or "" for t in some]))]
         return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["n_words", "n_tokens"])
 

@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 RANKS = os.environ.get("STRATAVOX_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces that a worker keeps.
-CACHED = 600_000
+CACHED = 250_000
+#: Pairs of tokens whose compatibility is kept.
+PAIRS = 400_000
 #: Texts encoded together.
 TEXTS = 256
 
@@ -87,7 +89,7 @@ class Vocabulary:
         latest first; a merge across the border that would have come earlier rules the pair out."""
         known = self.fits.get(key := a * 1_000_003 + b)
         if known is None:
-            if len(self.fits) > 3_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(a, b)
         return known
@@ -206,19 +208,18 @@ _SCHEMA = "struct<tokens: array<int>, n_tokens: bigint, round_trip: boolean>"
 def _encode(path: str, pattern: str):
     def run(texts: pa.Array) -> pa.Array:
         enc = encoder(path, pattern)
-        whole: list[str | None] = texts.to_pylist()
         packed: list[bytes] = []
         same: list[bool | None] = []
-        for k in range(0, len(whole), TEXTS):
-            some = whole[k : k + TEXTS]
+        for k in range(0, len(texts), TEXTS):
+            some: list[str | None] = texts.slice(k, TEXTS).to_pylist()
             for text, ids in zip(some, enc.encode([t or "" for t in some])):
                 packed.append(ids)
                 same.append(None if text is None else enc.v.decode(memoryview(ids).cast("i")) == text.encode())
         off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         flat = pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(packed))])
-        null = pa.array([t is None for t in whole], pa.bool_())
+        null = pa.array([s is None for s in same], pa.bool_())
         return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(pa.array(off), flat, mask=null), pa.array([None if t is None else len(p) // 4 for t, p in zip(whole, packed)], pa.int64()), pa.array(same, pa.bool_())],
+            [pa.ListArray.from_arrays(pa.array(off), flat, mask=null), pa.array([None if s is None else len(p) // 4 for s, p in zip(same, packed)], pa.int64()), pa.array(same, pa.bool_())],
             names=["tokens", "n_tokens", "round_trip"],
         )
 
