@@ -28,11 +28,11 @@ def joined(c):
 
 
 def fold(c):
-    return f"regexp_replace(lower({c}), '[^0-9a-z가-힣]+', '', 'g')"
+    return f"list_filter(string_split(regexp_replace(lower({c}), '[^0-9a-z가-힣]+', '', 'g'), ''), lambda c: c <> '')"
 
 
 def pairs(f):
-    return f"list_distinct(list_transform(range(1, length({f})), lambda i: {f}[i] || {f}[i + 1]))"
+    return f"list_distinct(list_transform(list_zip({f}, {f}[2:])[1:len({f}) - 1], lambda c: c[1] || c[2]))"
 
 
 def mixed(c):
@@ -145,7 +145,7 @@ chunked AS (
   FROM chunked WINDOW o AS (PARTITION BY conv_id ORDER BY turn, k)
 )"""
 PARA = f"""
-step AS (SELECT lecture_id, row_number() OVER (PARTITION BY lecture_id ORDER BY seq) AS rn, start_s, end_s, text, (lp < -0.9::DOUBLE OR ns > 0.6::DOUBLE) AS bad FROM seg),
+step AS MATERIALIZED (SELECT lecture_id, row_number() OVER (PARTITION BY lecture_id ORDER BY seq) AS rn, start_s, end_s, text, (lp < -0.9::DOUBLE OR ns > 0.6::DOUBLE) AS bad FROM seg),
 fold AS (
   SELECT lecture_id, rn, 0 AS para_no, start_s AS st, end_s AS en, text AS cur, bad FROM step WHERE rn = 1
   UNION ALL
@@ -240,14 +240,14 @@ SELECT lecture_id, row_number() OVER (PARTITION BY lecture_id ORDER BY material,
 SLIDES = "slides AS (SELECT source AS lecture_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS slide_no, string_split(text, chr(10)) AS lines FROM documents)"
 SCORES = f"""
 skey AS (SELECT lecture_id, slide_no, {pairs('f')} AS k FROM (SELECT *, {fold("array_to_string(lines, ' ')")} AS f FROM slides)),
-pkey AS (SELECT page_idx, text, {pairs('f')} AS k FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS page_idx, text, {fold('text')} AS f FROM benchmark)),
+pkey AS MATERIALIZED (SELECT page_idx, text, {pairs('f')} AS k FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS page_idx, text, {fold('text')} AS f FROM benchmark)),
 sg AS (SELECT lecture_id, slide_no, len(k) AS n, unnest(k) AS g FROM skey WHERE len(k) >= 5),
 pg AS (SELECT page_idx, unnest(k) AS g FROM pkey),
 scores AS (SELECT lecture_id, slide_no, page_idx, n, count(*) / n AS r FROM sg JOIN pg USING (g) GROUP BY lecture_id, slide_no, page_idx, n)"""
 SQL["align_scores"] = f"WITH {SLIDES}, {SCORES} SELECT lecture_id, slide_no, page_idx, r FROM scores"
 SQL["align_slides"] = rf"""
 WITH RECURSIVE {SLIDES}, {SCORES},
-cand AS (SELECT s.lecture_id, s.slide_no, list({{'i': page_idx, 'r': r}} ORDER BY page_idx) FILTER (WHERE page_idx IS NOT NULL) AS c, CASE WHEN any_value(n) < 12 THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END AS need FROM slides s LEFT JOIN scores USING (lecture_id, slide_no) GROUP BY ALL),
+cand AS MATERIALIZED (SELECT s.lecture_id, s.slide_no, list({{'i': page_idx, 'r': r}} ORDER BY page_idx) FILTER (WHERE page_idx IS NOT NULL) AS c, CASE WHEN any_value(n) < 12 THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END AS need FROM slides s LEFT JOIN scores USING (lecture_id, slide_no) GROUP BY ALL),
 pick AS (
   SELECT lecture_id, 0::BIGINT AS slide_no, NULL::BIGINT AS page, NULL::BIGINT AS last FROM slides WHERE slide_no = 1
   UNION ALL
@@ -263,7 +263,7 @@ SELECT lecture_id, slide_no, slide_no * 30.0::DOUBLE AS t_s,
 FROM o JOIN slides USING (lecture_id, slide_no) LEFT JOIN pkey ON page_idx = page WHERE NOT coalesce(page = prev, false)"""
 SQL["merge_slides"] = f"""
 WITH RECURSIVE {SLIDES}, s AS (SELECT lecture_id, slide_no, lines, {folded("array_to_string(lines, ' ')", 2)} AS k, {reading('lines')} AS score FROM slides),
-r AS (SELECT *, row_number() OVER (PARTITION BY lecture_id ORDER BY slide_no) AS rn FROM s WHERE len(k) > 0),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lecture_id ORDER BY slide_no) AS rn FROM s WHERE len(k) > 0),
 f AS (
   SELECT lecture_id, rn, 1::BIGINT AS n, 1::BIGINT AS idx, true AS put, [{{'i': 1::BIGINT, 'k': k, 'score': score}}] AS recent FROM r WHERE rn = 1
   UNION ALL
@@ -312,7 +312,7 @@ med AS (
 )"""
 NAMES = """
 base AS (SELECT rel_path, bytes, ext, replace(regexp_replace(rel_path, '\\.[^./]+$', ''), '/', ' - ') AS base FROM roles WHERE role = 'media'),
-want AS (SELECT rel_path, bytes, CASE WHEN count(*) OVER (PARTITION BY lower(base)) > 1 THEN base || ' (' || ext || ')' ELSE base END AS name, row_number() OVER (ORDER BY rel_path) AS rn FROM base),
+want AS MATERIALIZED (SELECT rel_path, bytes, CASE WHEN count(*) OVER (PARTITION BY lower(base)) > 1 THEN base || ' (' || ext || ')' ELSE base END AS name, row_number() OVER (ORDER BY rel_path) AS rn FROM base),
 naming AS (
   SELECT 0::BIGINT AS rn, []::VARCHAR[] AS used, NULL::VARCHAR AS out_name
   UNION ALL
