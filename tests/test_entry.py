@@ -3,6 +3,9 @@
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -32,3 +35,12 @@ def test_oracle(spark, name):
     got, want = entry.queries()[name](spark, DATA).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+def test_imports_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+    n, some = out.stdout.split()
+    assert int(n) >= 46 and some == "False"
