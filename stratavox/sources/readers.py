@@ -13,7 +13,7 @@ log = logging.getLogger(__name__)
 
 
 def media(spark: SparkSession, folder: str) -> DataFrame:
-    """rel_path, bytes of all files under a folder, in any order."""
+    """rel_path, bytes of all files under a folder, in any order. Spark leaves out empty files, which hold no media."""
     root = folder.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     return files.select(F.regexp_replace(F.url_decode("path"), "^.*?" + root.replace(".", r"\."), "").alias("rel_path"), F.col("length").alias("bytes"))
