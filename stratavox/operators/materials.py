@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,13 +60,40 @@ def hot_words(pages: DataFrame, limit: int = K.HOTWORD_CHARS) -> DataFrame:
     return kept.groupBy("lecture_id").agg(F.left(words, F.lit(limit)).alias("words"))
 
 
-def containment(screens: DataFrame, pages: DataFrame) -> DataFrame:
-    """lecture_id, slide_no, page_idx, n, r: the share r of a screen's n bigrams that a page has. An equi-join on bigrams
-    within a lecture; pages that share none don't appear, and can't win."""
-    s = screens.select("lecture_id", "slide_no", T.bigrams(F.array_join("lines", " ")).alias("k")).select("lecture_id", "slide_no", F.size("k").alias("n"), F.explode("k").alias("g"))
-    p = pages.select("lecture_id", "page_idx", F.explode(T.bigrams(F.col("text"))).alias("g"))
-    met = s.filter(F.col("n") >= K.MIN_BIGRAMS).join(p, ["lecture_id", "g"]).groupBy("lecture_id", "slide_no", "page_idx", "n").agg(F.count("*").alias("c"))
-    return met.select("lecture_id", "slide_no", "page_idx", "n", (F.col("c") / F.col("n")).alias("r"))
+def containment(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
+    """lecture_id, slide_no, page_idx, n, r: the share r of a screen's n bigrams that a page has. Pages that share none
+    don't appear, and can't win.
+
+    Within a lecture nearly all pairs share some bigram, so an equi-join on bigrams would make a row for each shared one.
+    Instead the counts of all pairs are products of incidence matrices, in blocks, so that a lecture of any length takes
+    bounded memory beside its own rows."""
+    s = screens.select("lecture_id", "slide_no", T.bigrams(F.array_join("lines", " ")).alias("k")).filter(F.size("k") >= K.MIN_BIGRAMS)
+    p = pages.select("lecture_id", "page_idx", T.bigrams(F.col("text")).alias("k")).filter(F.size("k") > 0)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        ids = {g: i for i, g in enumerate(dict.fromkeys(g for k in right["k"] for g in k))}
+
+        def incidence(rows: pd.Series) -> np.ndarray:
+            m = np.zeros((len(rows), len(ids)), np.float32)
+            for i, k in enumerate(rows):
+                m[i, [ids[g] for g in k if g in ids]] = 1
+            return m
+
+        for y in range(0, len(right), block):
+            pages = incidence(right["k"].iloc[y : y + block]).T
+            for x in range(0, len(left), block):
+                some = left.iloc[x : x + block]
+                both = incidence(some["k"]) @ pages  # whole numbers far below 2**24, so exact
+                i, j = np.nonzero(both)
+                n = some["k"].map(len).to_numpy()[i]
+                parts.append(pd.DataFrame({"slide_no": some["slide_no"].to_numpy()[i], "page_idx": right["page_idx"].to_numpy()[y + j], "n": n, "r": both[i, j].astype(np.float64) / n}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"slide_no": [], "page_idx": [], "n": [], "r": []})
+        out.insert(0, "lecture_id", left["lecture_id"].iloc[0] if len(left) else None)
+        return out
+
+    kind = screens.schema["lecture_id"].dataType.simpleString()
+    return s.groupBy("lecture_id").cogroup(p.groupBy("lecture_id")).applyInPandas(score, f"lecture_id {kind}, slide_no int, page_idx int, n int, r double")
 
 
 def align(screens: DataFrame, pages: DataFrame) -> DataFrame:
