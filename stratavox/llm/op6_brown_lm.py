@@ -208,10 +208,11 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, share:
     counted = scratch.keep(docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") >= share * total
-    vocabulary = counted.filter(often).toPandas()  # at most 1 / share rows
-    lexicon = Lexicon(vocabulary["word"].to_numpy(np.int64).view(np.uint64))
+    vocabulary = counted.filter(often).toArrow()  # at most 1 / share rows
+    keys = vocabulary["word"].to_numpy().view(np.uint64)
+    lexicon = Lexicon(keys)
     count = np.zeros(lexicon.size)
-    count[_FIXED + np.searchsorted(lexicon.keys, vocabulary["word"].to_numpy(np.int64).view(np.uint64))] = vocabulary["n"]
+    count[_FIXED + np.searchsorted(lexicon.keys, keys)] = vocabulary["n"].to_numpy()
     types = np.ones(_FIXED)
     for r in counted.filter(~often).groupBy(F.col("word").bitwiseAND(7).alias("c")).agg(F.count("*").alias("t")).collect():
         types[r["c"]] = r["t"]
@@ -225,7 +226,7 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, share:
 
     def meet() -> tuple[np.ndarray, np.ndarray]:
         both = np.zeros(2 * v * k, np.int64)
-        at = bigrams.mapInArrow(_meetings(spark.sparkContext.broadcast((member, k))), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        at = bigrams.mapInArrow(_meetings(spark.sparkContext.broadcast((member, k))), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         both[at["cell"].to_numpy()] = at["n"].to_numpy()
         return both[: v * k].reshape(v, k), both[v * k :].reshape(v, k)
 
