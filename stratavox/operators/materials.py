@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,35 +62,42 @@ def hot_words(pages: DataFrame, limit: int = K.HOTWORD_CHARS) -> DataFrame:
     return kept.groupBy("lecture_id").agg(F.left(words, F.lit(limit)).alias("words"))
 
 
-def containment(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
-    """lecture_id, slide_no, page_idx, n, r: the share r of a screen's n bigrams that a page has. Pages that share none
-    don't appear, and can't win.
+def _shares(left: pd.DataFrame, right: pd.DataFrame, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each run of screens, in order: where it begins, their numbers of bigrams, and the shares of them that each page
+    has (screens x pages). The counts are products of incidence matrices, in blocks, so that a lecture of any length takes
+    bounded memory beside its own rows and shares; an equi-join would make a row for each shared bigram."""
+    ids = {g: i for i, g in enumerate(dict.fromkeys(g for k in right["k"] for g in k))}
+
+    def incidence(rows: pd.Series) -> np.ndarray:
+        m = np.zeros((len(rows), len(ids)), np.float32)
+        for i, k in enumerate(rows):
+            m[i, [ids[g] for g in k if g in ids]] = 1
+        return m
+
+    for x in range(0, len(left), block):
+        some = left["k"].iloc[x : x + block]
+        mine, n = incidence(some), some.map(len).to_numpy()
+        # whole numbers far below 2**24, so exact
+        both = [mine @ incidence(right["k"].iloc[y : y + block]).T for y in range(0, len(right), block)]
+        yield x, n, np.concatenate([np.zeros((len(some), 0)), *both], axis=1).astype(np.float64) / n[:, None]
 
-    Within a lecture nearly all pairs share some bigram, so an equi-join on bigrams would make a row for each shared one.
-    Instead the counts of all pairs are products of incidence matrices, in blocks, so that a lecture of any length takes
-    bounded memory beside its own rows."""
+
+def _keys(screens: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = screens.select("lecture_id", "slide_no", T.bigrams(F.array_join("lines", " ")).alias("k")).filter(F.size("k") >= K.MIN_BIGRAMS)
-    p = pages.select("lecture_id", "page_idx", T.bigrams(F.col("text")).alias("k")).filter(F.size("k") > 0)
+    return s, pages.select("lecture_id", "page_idx", T.bigrams(F.col("text")).alias("k")).filter(F.size("k") > 0)
+
+
+def containment(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
+    """lecture_id, slide_no, page_idx, n, r: the share r of a screen's n bigrams that a page has. Pages that share none
+    don't appear."""
+    s, p = _keys(screens, pages)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        ids = {g: i for i, g in enumerate(dict.fromkeys(g for k in right["k"] for g in k))}
-
-        def incidence(rows: pd.Series) -> np.ndarray:
-            m = np.zeros((len(rows), len(ids)), np.float32)
-            for i, k in enumerate(rows):
-                m[i, [ids[g] for g in k if g in ids]] = 1
-            return m
-
-        for y in range(0, len(right), block):
-            pages = incidence(right["k"].iloc[y : y + block]).T
-            for x in range(0, len(left), block):
-                some = left.iloc[x : x + block]
-                both = incidence(some["k"]) @ pages  # whole numbers far below 2**24, so exact
-                i, j = np.nonzero(both)
-                n = some["k"].map(len).to_numpy()[i]
-                parts.append(pd.DataFrame({"slide_no": some["slide_no"].to_numpy()[i], "page_idx": right["page_idx"].to_numpy()[y + j], "n": n, "r": both[i, j].astype(np.float64) / n}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"slide_no": [], "page_idx": [], "n": [], "r": []})
+        parts = [pd.DataFrame({"slide_no": [], "page_idx": [], "n": [], "r": []})]
+        for x, n, r in _shares(left, right, block):
+            i, j = np.nonzero(r)
+            parts.append(pd.DataFrame({"slide_no": left["slide_no"].to_numpy()[x + i], "page_idx": right["page_idx"].to_numpy()[j], "n": n[i], "r": r[i, j]}))
+        out = pd.concat(parts)
         out.insert(0, "lecture_id", left["lecture_id"].iloc[0] if len(left) else None)
         return out
 
@@ -96,39 +105,32 @@ def containment(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataF
     return s.groupBy("lecture_id").cogroup(p.groupBy("lecture_id")).applyInPandas(score, f"lecture_id {kind}, slide_no int, page_idx int, n int, r double")
 
 
-def align(screens: DataFrame, pages: DataFrame) -> DataFrame:
+def align(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
     """screens (lecture_id, slide_no, t_s, lines) with page_label; an aligned screen takes the page's lines, and is left
     out if it repeats the page before it.
 
-    Scores are worked out in parallel; only the choice, which hangs on the page chosen last, is sequential. A candidate
-    more than the bonus below what it needs can neither win nor rule out a winner that qualifies, so it goes first."""
-    scores = containment(screens, pages)
-    need = F.when(F.col("n") < K.SHORT_BIGRAMS, K.SHORT_SHARE).otherwise(K.MATCH_SHARE)
-    useful = scores.withColumn("need", need).filter(F.col("r") >= F.col("need") - K.FORWARD_BONUS - 1e-9)
-    cands = useful.groupBy("lecture_id", "slide_no").agg(F.array_sort(F.collect_list(F.struct("page_idx", "r"))).alias("cands"), F.first("need").alias("need"))
-    ordered = screens.select("lecture_id", "slide_no").join(cands, ["lecture_id", "slide_no"], "left")
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        last, pick = None, []
-        g = g.sort_values("slide_no")
-        for cand, need in zip(g["cands"], g["need"]):
-            best, r, top = None, 0.0, 0.0
-            for c in cand if cand is not None else ():
-                adj = c["r"] + (K.FORWARD_BONUS if last is not None and last <= c["page_idx"] <= last + K.FORWARD_PAGES else 0.0)
-                if adj > top:
-                    best, r, top = c["page_idx"], c["r"], adj
-            if best is not None and r >= need:
-                last = best
-                pick.append(best)
-            else:
-                pick.append(None)
-        return pd.DataFrame({"lecture_id": g["lecture_id"], "slide_no": g["slide_no"], "page_idx": pd.array(pick, "Int32")})
+    A lecture's shares are worked out together; only the choice, which hangs on the page chosen last, goes screen by
+    screen: the first page of the greatest share, with a bonus for the pages just ahead; it counts if its share without
+    the bonus suffices."""
+    s, p = _keys(screens, pages)
+
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("slide_no"), right.sort_values("page_idx")
+        page, no, last, out = right["page_idx"].to_numpy(), left["slide_no"].to_numpy(), None, []
+        for x, n, shares in _shares(left, right, block) if len(right) else ():
+            for i, r in enumerate(shares):
+                adj = r if last is None else r + np.where((page >= last) & (page <= last + K.FORWARD_PAGES), K.FORWARD_BONUS, 0.0)
+                k = int(np.argmax(adj))
+                if r[k] >= (K.SHORT_SHARE if n[i] < K.SHORT_BIGRAMS else K.MATCH_SHARE):
+                    last = page[k]
+                    out.append((no[x + i], last))
+        return pd.DataFrame({"lecture_id": left["lecture_id"].iloc[0] if out else None, "slide_no": [a for a, _ in out], "page_idx": [b for _, b in out]})
 
     kind = screens.schema["lecture_id"].dataType.simpleString()
-    chosen = ordered.groupBy("lecture_id").applyInPandas(choose, f"lecture_id {kind}, slide_no int, page_idx int")
+    chosen = s.groupBy("lecture_id").cogroup(p.groupBy("lecture_id")).applyInPandas(choose, f"lecture_id {kind}, slide_no int, page_idx int")
     body = F.transform(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: T.strip(x) != ""), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     p = pages.select("lecture_id", "page_idx", F.col("label").alias("page_label"), body.alias("body"))
-    out = screens.join(chosen, ["lecture_id", "slide_no"]).join(p, ["lecture_id", "page_idx"], "left")
+    out = screens.join(chosen, ["lecture_id", "slide_no"], "left").join(p, ["lecture_id", "page_idx"], "left")
     before = F.lag("page_label").over(Window.partitionBy("lecture_id").orderBy("slide_no"))
     out = out.withColumn("again", F.coalesce(F.col("page_label") == before, F.lit(False))).filter(~F.col("again"))
     return out.select("lecture_id", "slide_no", "t_s", F.coalesce("body", "lines").alias("lines"), "page_label")
