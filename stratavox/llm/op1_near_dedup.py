@@ -27,8 +27,9 @@ Defined results:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ M = ROWS * BANDS
 BASE, RATE, Q = 1.02, 20.0, 4094
 #: Standard errors by which an estimate may fall short of the threshold before a pair is dropped unverified.
 SLACK = 3.0
+#: Pairs of a bucket that are passed on at once.
+PAIRS = 500_000
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 32, M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -136,16 +139,28 @@ def _estimate(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(estimate(to(x), to(y)) if len(x) else np.zeros(0))
 
 
-def _cross(groups):
-    """All pairs of documents of different components in a bucket."""
-    for batch in groups:
-        for members in batch["members"]:
-            comp = np.array([m["comp"] for m in members])
-            ids = np.array([m["doc_id"] for m in members])
-            for k, c in enumerate(comp):
-                at = comp > c
-                if at.any():
-                    yield pd.DataFrame({"x": np.minimum(ids[at], ids[k]), "y": np.maximum(ids[at], ids[k])})
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of documents of different components in a bucket, in parts of bounded size."""
+    for batch in batches:
+        lists = batch.column(0)
+        off = lists.offsets.to_numpy()
+        comps, ids = (lists.values.field(k).to_numpy() for k in (0, 1))
+        for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+            comp, doc = comps[lo:hi], ids[lo:hi]
+            o = np.argsort(comp, kind="stable")
+            comp, doc = comp[o], doc[o]
+            after = np.searchsorted(comp, comp, "right")  # the members of later components
+            n = len(comp) - after
+            edges = np.concatenate([[0], np.cumsum(n)])
+            k = 0
+            while k < len(n):
+                e = max(k + 1, int(np.searchsorted(edges, edges[k] + PAIRS, "right")) - 1)
+                m = n[k:e]
+                x = np.repeat(doc[k:e], m)
+                y = doc[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(after[k:e], m)]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+                k = e
 
 
 def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -202,7 +217,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | Non
     mixed = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
     mixed = scratch.keep(mixed)
     gathered = named.join(sized(mixed), "key", "left_semi").groupBy("key").agg(F.collect_set(F.struct("comp", "doc_id")).alias("members"))
-    cross = scratch.keep(gathered.select("members").mapInPandas(_cross, "x long, y long").distinct().join(star, ["x", "y"], "left_anti"))
+    # few rows make many pairs: spread them over all tasks
+    spread = gathered.select("members").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cross = scratch.keep(spread.mapInArrow(_cross, "x long, y long").distinct().join(star, ["x", "y"], "left_anti"))
     if cross.isEmpty():
         return comp
     more = verified(cross, sketch, docs, threshold, scratch)
