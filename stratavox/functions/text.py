@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 HANGUL, LATIN = "[가-힣]", "[A-Za-z]"
+#: Characters that names and screens are compared by, and a run of any others.
+KEPT = "0-9a-z가-힣"
+OTHERS = f"[^{KEPT}]+"
+TERMS = rf"({HANGUL}{{2,}}|[A-Z]{LATIN}+)"
+_GAP, _NUMBER = r"\s*", r"(\d+)"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -39,7 +44,7 @@ def short_name(c: Column, limit: int = K.NAME_CHARS) -> Column:
 
 def folded_words(c: Column, least: int) -> Column:
     """Distinct words of digits, Latin small letters and Hangul, of at least so many characters."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^0-9a-z가-힣]+", " "), " "), lambda x: F.length(x) >= least))
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), OTHERS, " "), " "), lambda x: F.length(x) >= least))
 
 
 def screen_words(lines: Column) -> Column:
@@ -51,7 +56,7 @@ def name_words(c: Column) -> Column:
 
 
 def flat(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^0-9a-z가-힣]+", "")
+    return F.regexp_replace(F.lower(c), OTHERS, "")
 
 
 def bigrams(c: Column) -> Column:
@@ -88,7 +93,7 @@ def week(c: Column) -> Column:
     return F.coalesce(first(r"(?U)(\d+)\s*주차"), first(r"(?U)(\d+)"))
 
 
-_COURSE = r"(?U)^(.*?)\s*(\d+)\s*-\s*(\d+)\s*강?$"
+_COURSE = "(?U)^(.*?)" + _GAP + _NUMBER + _GAP + "-" + _GAP + _NUMBER + _GAP + "강?$"
 
 
 def course(c: Column) -> tuple[Column, Column, Column]:

@@ -53,7 +53,7 @@ def labelled_pages(matches: DataFrame, pages: DataFrame) -> DataFrame:
 
 def hot_words(pages: DataFrame, limit: int = K.HOTWORD_CHARS) -> DataFrame:
     """lecture_id, words: the most frequent terms, ties by first occurrence, up to the limit of characters."""
-    terms = pages.select("lecture_id", "page_idx", F.posexplode(F.regexp_extract_all("text", F.lit("([가-힣]{2,}|[A-Z][A-Za-z]+)"))).alias("pos", "word"))
+    terms = pages.select("lecture_id", "page_idx", F.posexplode(F.regexp_extract_all("text", F.lit(T.TERMS))).alias("pos", "word"))
     counted = terms.groupBy("lecture_id", "word").agg(F.count("*").alias("n"), F.min(F.struct("page_idx", "pos")).alias("first")).filter(~F.col("word").isin(*K.COMMON))
     order = Window.partitionBy("lecture_id").orderBy(F.desc("n"), "first")
     before = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)) - 1, F.lit(-1))

@@ -95,7 +95,8 @@ def week(c):
     return rf"coalesce(TRY_CAST(nullif(regexp_extract({c}, '(\d+)\s*주차', 1), '') AS INT), TRY_CAST(nullif(regexp_extract({c}, '(\d+)', 1), '') AS INT))"
 
 
-_C = r"'^(.*?)\s*(\d+)\s*-\s*(\d+)\s*강?$'"
+_gap, _number = r"\s*", r"(\d+)"
+_C = f"'^(.*?){_gap}{_number}{_gap}-{_gap}{_number}{_gap}강?$'"
 
 
 def course(c):
@@ -216,9 +217,10 @@ SUM = """sums AS (
   LEFT JOIN (SELECT lecture_id, count(*) AS spans FROM spans GROUP BY 1) USING (lecture_id)
 )"""
 SQL["lecture_summary"] = f"WITH RECURSIVE {SEG}, {PARA}, {SCREENS}, {LABEL}, {spans('lab')}, {SUM} SELECT * FROM sums"
+_terms = "|".join(("[가-힣]{2,}", "[A-Z][A-Za-z]+"))
 _common = ", ".join(f"'{w}'" for w in sorted(K.COMMON))
 SQL["hotwords"] = f"""
-WITH p AS (SELECT source AS lecture_id, doc_id, regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeo', '가나다') ELSE text END, '[가-힣]{{2,}}|[A-Z][A-Za-z]+') AS ws FROM documents),
+WITH p AS (SELECT source AS lecture_id, doc_id, regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeo', '가나다') ELSE text END, '{_terms}') AS ws FROM documents),
 w AS (SELECT lecture_id, doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM p),
 c AS (SELECT lecture_id, word, count(*) AS n, min((doc_id, pos)) AS first FROM w WHERE word NOT IN ({_common}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER o AS k, sum(length(word) + 1) OVER o - length(word) - 2 AS before FROM c WINDOW o AS (PARTITION BY lecture_id ORDER BY n DESC, first))
