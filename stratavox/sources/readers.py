@@ -35,6 +35,11 @@ def frame_times(logs: DataFrame) -> DataFrame:
     return logs.select("lecture_id", F.posexplode(times).alias("frame_no", "t")).select("lecture_id", "frame_no", F.col("t").cast("double").alias("t_s"))
 
 
+#: Words of the configuration file; where there is none, the mode is accurate and screens are read.
+MODES = dict.fromkeys(("accuracy", "정확도"), True) | dict.fromkeys(("speed", "속도"), False)
+SWITCH = dict.fromkeys(("yes", "on", "켬"), True) | dict.fromkeys(("no", "off", "끔"), False)
+
+
 @dataclass(frozen=True)
 class Config:
     model: str = "large-v3"
@@ -68,17 +73,14 @@ def config(path: str, section: str | None = None) -> Config:
             log.warning("%s: %d is out of bounds", key, v)
         return min(max(v, low), high)
 
-    def choice(key: str, default: str, words: dict[str, set[str]]) -> str:
-        v = s.get(key, default).strip().lower()
-        for name, same in words.items():
-            if v in same:
-                return name
-        log.warning("%s: %r is unknown; %s is used", key, v, default)
-        return default
-
-    accurate = choice("우선순위", "정확도", {"정확도": {"정확도", "accuracy"}, "속도": {"속도", "speed"}}) == "정확도"
-    batch = whole("batch_size", 1, 1, 32)
-    slides = choice("슬라이드_읽기", "켬", {"켬": {"켬", "on", "yes"}, "끔": {"끔", "off", "no"}}) == "켬"
+    def flag(key: str, words: dict[str, bool]) -> bool:
+        v = s.get(key)
+        if v is None or v.strip().lower() in words:
+            return v is None or words[v.strip().lower()]
+        log.warning("%s: %r is unknown", key, v)
+        return True
+
+    accurate, batch, slides = flag("우선순위", MODES), whole("batch_size", 1, 1, 32), flag("슬라이드_읽기", SWITCH)
     ocr = (s.get("슬라이드_언어", "자동").strip() or "자동").replace("auto", "자동")
     return Config(s.get("model", Config.model), s.get("language", Config.language), whole("beam_size", 5, 1, 10), 16 if not accurate and batch == 1 else batch, accurate, slides, ocr)
 
