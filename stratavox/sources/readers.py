@@ -38,6 +38,7 @@ def frame_times(logs: DataFrame) -> DataFrame:
 #: Words of the configuration file; where there is none, the mode is accurate and screens are read.
 MODES = dict.fromkeys(("accuracy", "정확도"), True) | dict.fromkeys(("speed", "속도"), False)
 SWITCH = dict.fromkeys(("yes", "on", "켬"), True) | dict.fromkeys(("no", "off", "끔"), False)
+AUTO = "자동"
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ class Config:
     batch_size: int = 1
     accurate: bool = True
     slides: bool = True
-    ocr_lang: str = "자동"
+    ocr_lang: str = AUTO
 
 
 def config(path: str, section: str | None = None) -> Config:
@@ -81,13 +82,15 @@ def config(path: str, section: str | None = None) -> Config:
         return True
 
     accurate, batch, slides = flag("우선순위", MODES), whole("batch_size", 1, 1, 32), flag("슬라이드_읽기", SWITCH)
-    ocr = (s.get("슬라이드_언어", "자동").strip() or "자동").replace("auto", "자동")
+    languages = s.get("슬라이드_언어")
+    ocr = languages.strip() if languages and languages.strip() else AUTO
+    ocr = AUTO if ocr.lower() == "auto" else ocr
     return Config(s.get("model", Config.model), s.get("language", Config.language), whole("beam_size", 5, 1, 10), 16 if not accurate and batch == 1 else batch, accurate, slides, ocr)
 
 
 def ocr_languages(choice: str, spoken: str, available: set[str]) -> list[str]:
     """Languages to read screens in, one pass each."""
-    if choice.strip().lower() not in ("자동", "auto", ""):
+    if choice.strip().lower() not in (AUTO, "auto", ""):
         return [choice.strip()]
     if "kor" not in available:
         return ["eng"]
