@@ -92,6 +92,5 @@ def ocr_languages(choice: str, spoken: str, available: set[str]) -> list[str]:
     """Languages to read screens in, one pass each."""
     if choice.strip().lower() not in (AUTO, "auto", ""):
         return [choice.strip()]
-    if "kor" not in available:
-        return ["eng"]
-    return ["kor", "eng"] if spoken == "ko" else ["eng", "kor"]
+    both = ["kor", "eng"] if "kor" in available else ["eng"]
+    return both if spoken == "ko" else both[::-1]
