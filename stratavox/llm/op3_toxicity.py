@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, least_hash
 from .textops import Filter, Words, chunks, lower, raw, word_chunks, words
 
 #: Labelled documents that the scoring rule is fitted on, at most.
@@ -85,8 +85,8 @@ def char_model(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b) of all documents, interpolated with bigrams and unigrams; CLASSES**3 numbers at most are
     collected, whatever the input."""
     counts = np.zeros(CLASSES**3)
-    for r in docs.select("text").mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[r["gram"]] = r["n"]
+    seen = docs.select("text").mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts[seen["gram"].to_numpy()] = seen["n"].to_numpy()
     c3 = counts.reshape(CLASSES, CLASSES, CLASSES)
     c2, c1 = c3.sum(0), c3.sum((0, 1))
     p1 = (c1 + 1) / (c1.sum() + CLASSES)
@@ -249,8 +249,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int, logp: np.ndarray, scratch: Scratch) -> Rule:
-    chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    chosen = scratch.keep(chosen)  # at most ``bound`` rows, so that it can be broadcast
+    every = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = scratch.keep(least_hash(every, "doc_id", bound))  # at most ``bound`` rows, so that it can be broadcast
     texts = scratch.keep(docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)

@@ -11,7 +11,7 @@ of ``SEEDS`` as a part of its name is unwanted. The words themselves are not amo
 Defined results:
 
 - NULL url: NULL score, not blocked. An empty or malformed url has the features that can be read off it.
-- Very long urls are read whole. Labels of one class, or none: score 0.5 log odds 0, nothing is blocked.
+- Very long urls are read whole. Labels of one class, or none: score 0 (even odds), nothing is blocked.
 - Ties (log odds exactly 0) are not blocked. Repeated rows give repeated results, and repeated labelled URLs count once.
 - Empty tables give an empty result; extra columns are ignored.
 """
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hash
+
 LABELLED = 20_000
 SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
 TREES, DEPTH, RATE, BINS, LEAF = 40, 3, 0.3, 32, 5
@@ -120,7 +122,8 @@ def seed_labels(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
 def filtered(pages: DataFrame, labelled: DataFrame | None = None, bound: int = LABELLED) -> DataFrame:
     """page_id, score (log odds of an unwanted URL), blocked; a row for each row of pages."""
     labelled = labelled if labelled is not None else seed_labels(pages)
-    known = labelled.filter("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(bound).toPandas()
+    every = labelled.filter("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
+    known = least_hash(every, "url", bound).toPandas()
     named = F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
     end = F.substring_index(named, ".", -2)
     counts = pages.filter("url IS NOT NULL").groupBy(end.alias("end")).agg(F.count("*").alias("n"))
