@@ -4,12 +4,16 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)). Classes come from exchange
 raises the likelihood of the corpus's class bigrams most. All counts cover all documents:
 
 1. Word counts: sorted and summed within tasks, one shuffle by word.
-2. The vocabulary is every word whose share of all words is at least ``SHARE``; so it has at most 1 / SHARE words,
-   whatever the input, and can be broadcast. Rarer words belong to classes by their length, of known types and tokens.
-3. Bigram counts of vocabulary words, one shuffle, written to the shared folder.
-4. Exchange, ``ROUNDS`` times: the cluster counts how often each word meets each class on either side (words x classes
-   numbers), the driver moves words one after another against the class bigrams, and the next round counts anew.
-5. Every document is scored with the class bigrams (a small matrix), smoothed towards class frequencies.
+2. Words whose share of all words is at least ``SHARE`` are frequent: at most 1 / SHARE words whatever the input, so they
+   can be broadcast and moved one after another. All other words are just as much words of the model, but never broadcast.
+3. Bigram counts of frequent words, one shuffle, written to the shared folder; the others count by their length here.
+4. Exchange, ``ROUNDS`` times: the cluster counts how often each frequent word meets each class on either side (words x
+   classes numbers), the driver moves words one after another against the class bigrams, and the next round counts anew.
+5. Exchange of all other words: their occurrences are shuffled by word, and each word moves once, all at the same time, to
+   its best class against the class bigrams; its count is the number of its occurrences.
+6. The classes go back to their documents, one shuffle by document. Class bigrams and class frequencies are counted
+   anew over the classes of all words, and every document is scored with them (a small matrix), smoothed towards class
+   frequencies. So every word has its own class and its own count.
 
 Defined results:
 
@@ -25,21 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .textops import Words, word_chunks
 
-#: Least share of a vocabulary word among all words.
+#: Least share of a frequent word among all words; these are broadcast, all others are joined.
 SHARE = 1e-5
 CLASSES, ROUNDS = 64, 4
-#: Longest words (in bytes) of the classes of rare words; one more class holds the longer ones.
+#: Longest words (in bytes) of the first classes of words that aren't frequent; one more class holds the longer ones.
 RARE = (4, 8, 12)
 #: Counts that the smoothing adds in proportion to class frequency.
 PRIOR = 5.0
 #: Distinct keys that a task gathers before it passes them on.
 HELD = 2_000_000
+#: Occurrences that a task gathers before it moves their words.
+MOVED = 200_000
 
 _FIXED = 1 + len(RARE) + 1  # the border of documents, and the rare classes
 
@@ -180,12 +187,19 @@ def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, order:
     return classes
 
 
+def transitions(met: np.ndarray) -> np.ndarray:
+    """log P(class | class before) from counts of class bigrams."""
+    seen = (met.sum(0) + 1) / (met.sum() + len(met))
+    return np.log((met + PRIOR * seen) / (met.sum(1, keepdims=True) + PRIOR))
+
+
 class Model:
-    def __init__(self, lexicon: Lexicon, classes: np.ndarray, pairs: np.ndarray, emission: np.ndarray):
-        """pairs: counts of class bigrams; emission: log P(word | class) by id."""
-        self.lexicon, self.classes, self.emission = lexicon, classes, emission
-        seen = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
-        self.pairs = np.log((pairs + PRIOR * seen) / (pairs.sum(1, keepdims=True) + PRIOR))
+    """Of the frequent words, with the others in classes by their length."""
+
+    def __init__(self, lexicon: Lexicon, classes: np.ndarray, met: np.ndarray, emission: np.ndarray, count: np.ndarray):
+        """met: counts of class bigrams; emission: log P(word | class) by id; count: of frequent words, by id."""
+        self.lexicon, self.classes, self.met, self.emission, self.count = lexicon, classes, met, emission, count
+        self.pairs = transitions(met)
 
     def score(self, texts: pa.Array) -> pa.Array:
         if isinstance(texts, pa.ChunkedArray):
@@ -240,15 +254,160 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, share:
     emission[_FIXED:] = np.log(count[_FIXED:]) - np.log(weight[member[_FIXED:]])
     emission[:_FIXED] = -np.log(types)
     emission[0] = 0.0
-    return Model(lexicon, member, pairs, emission)
+    return Model(lexicon, member, pairs, emission, count)
+
+
+def _sequences(shared):
+    """Each document's classes, the border first, the sum of its frequent words' log counts, and all its other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, classes, count, k = shared.value
+        logn = np.log(np.maximum(count, 1))
+        key = TaskContext.get().partitionId() << 40
+        for b in batches:
+            texts = b.column(1)
+            for lo, hi, w in word_chunks(texts):
+                s, first = lexicon.sequence(w)
+                c = classes[s]
+                at = np.flatnonzero((s > 0) & (s < _FIXED))
+                doc = np.searchsorted(first, at, "right") - 1
+                word = ((w.hash[at - doc - 1] & ~np.uint64(7)) | s[at].astype(np.uint64)).view(np.int64)
+                tails = pa.StructArray.from_arrays(
+                    [pa.array(word), pa.array((at - first[doc]).astype(np.int32)), pa.array((c[at - 1] * k + c[at + 1]).astype(np.int32))], names=["word", "place", "context"]
+                )
+                off = np.searchsorted(at, first).astype(np.int32)
+                seq = c.astype(np.uint16)
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key + np.arange(hi - lo)),
+                        part.column(0),
+                        pa.array([seq[i:j].tobytes() if there else None for there, i, j in zip(part.column(1).is_valid().to_pylist(), first, first[1:])], pa.binary()),
+                        pa.array(np.add.reduceat(logn[s], first[:-1])),
+                        pa.ListArray.from_arrays(pa.array(off), tails),
+                    ],
+                    names=["key", "doc_id", "seq", "known", "tails"],
+                )
+                key += hi - lo
+
+    return run
+
+
+def best_classes(word: np.ndarray, context: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each occurrence (sorted by word; context: class before x classes + class after) its word's class, in which it
+    raises the likelihood most, and the word's count."""
+    k = len(met)
+    start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    size = np.diff(np.append(start, len(word)))
+    which = np.repeat(np.arange(len(start)), size)
+    rows, cols = met.sum(1)[_FIXED:], met.sum(0)[_FIXED:]
+    sizes, inv = np.unique(size, return_inverse=True)
+    loss = _xlogx(rows + sizes[:, None]) - _xlogx(rows) + _xlogx(cols + sizes[:, None]) - _xlogx(cols)
+    gain = -loss[inv]
+    for c, n in ((context % k, met[_FIXED:].T), (context // k, met[:, _FIXED:])):
+        cell, times = np.unique(which * k + c, return_counts=True)
+        kinds, inv = np.unique(times * k + cell % k, return_inverse=True)
+        c, times = kinds % k, kinds // k
+        table = _xlogx(n[c] + times[:, None]) - _xlogx(n[c])
+        first = np.searchsorted(cell // k, np.arange(len(start)))
+        gain += np.add.reduceat(table[inv], first, axis=0)
+    return (_FIXED + np.argmax(gain, 1))[which], size[which]
+
+
+def _move(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = shared.value
+        held, size = [], 0
+
+        def settle(rows: pa.Table) -> pa.RecordBatch:
+            c, n = best_classes(rows["word"].to_numpy(), rows["context"].to_numpy(), met)
+            return pa.RecordBatch.from_arrays([rows["key"].combine_chunks(), rows["place"].combine_chunks(), pa.array(c.astype(np.int32)), pa.array(np.log(n))], names=["key", "place", "class", "logn"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size > MOVED:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                word = rows["word"].to_numpy()
+                whole = int(np.searchsorted(word, word[-1]))  # the last word may go on
+                if whole:
+                    yield settle(rows.slice(0, whole))
+                held, size = rows.slice(whole).to_batches(), 0
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return run
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Writes the classes of the other words into the sequences."""
+    for b in batches:
+        doc, seq, logn, tails = b.columns
+        c = np.frombuffer(b"".join(x or b"" for x in seq.to_pylist()), np.uint16).copy()
+        first = np.cumsum([0, *(len(x or b"") // 2 for x in seq.to_pylist())])
+        row = np.repeat(np.arange(len(seq)), tails.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = tails.flatten()
+        c[first[row] + flat.field("place").to_numpy()] = flat.field("class").to_numpy()
+        whole = [c[i:j].tobytes() if there else None for there, i, j in zip(seq.is_valid().to_pylist(), first, first[1:])]
+        yield pa.RecordBatch.from_arrays([doc, pa.array(whole, pa.binary()), logn], names=["doc_id", "seq", "logn"])
+
+
+def _steps(seq: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all texts one after another, those that follow them, and where each text begins. A null is a border."""
+    if isinstance(seq, pa.ChunkedArray):
+        seq = seq.combine_chunks()
+    texts = [x or b"\0\0" for x in seq.to_pylist()]
+    c = np.frombuffer(b"".join(texts), np.uint16).astype(np.int64)
+    return c, np.append(c[1:], 0), np.cumsum([0, *(len(x) // 2 for x in texts)])
+
+
+def _class_bigrams(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            if b.num_rows:
+                x, y, _ = _steps(b.column(0).drop_null())
+                total += np.bincount(x * k + y, minlength=k * k)[: k * k]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    return run
 
 
 def perplexities(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, log_prob (natural), perplexity (per word and end of text); a row for each row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, classes, rounds, share))
-
-    def run(texts: pa.Array) -> pa.Array:
-        return model.value.score(texts)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "brown")
+    model = train(docs, classes, rounds, share, scratch)
+    k = len(model.met)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((model.lexicon, model.classes, model.count, k))
+    parts = scratch.keep(
+        docs.select("doc_id", "text").mapInArrow(_sequences(shared), f"key long, doc_id {kind}, seq binary, known double, tails array<struct<word: bigint, place: int, context: int>>")
+    )
+    others = parts.select("key", F.explode("tails").alias("t")).select("t.word", "key", "t.place", "t.context")
+    moved = others.repartition("word").sortWithinPartitions("word").mapInArrow(_move(spark.sparkContext.broadcast(model.met)), "key long, place int, class int, logn double")
+    back = moved.groupBy("key").agg(F.collect_list(F.struct("place", "class")).alias("tails"), F.sum("logn").alias("more"))
+    whole = parts.drop("tails").join(back, "key", "left").select("doc_id", "seq", (F.col("known") + F.coalesce("more", F.lit(0.0))).alias("logn"), "tails")
+    whole = scratch.keep(whole.mapInArrow(_fill, f"doc_id {kind}, seq binary, logn double"))
+
+    met = np.zeros(k * k)
+    for r in whole.select("seq").mapInArrow(_class_bigrams(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        met[r["cell"]] = r["n"]
+    met = met.reshape(k, k)
+    weight = np.log(np.maximum(met.sum(0), 1))
+    weight[0] = 0.0  # a border is sure in its class
+    last = spark.sparkContext.broadcast(transitions(met) - weight)
+
+    def run(seq: pa.Array, logn: pa.Array) -> pa.Array:
+        x, y, first = _steps(seq)
+        if not len(seq):
+            return pa.StructArray.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["n_words", "log_prob", "perplexity"])
+        logp, n = np.add.reduceat(last.value[x, y], first[:-1]) + logn.to_numpy(zero_copy_only=False), np.diff(first) - 1
+        null = np.asarray(seq.is_null())
+        return pa.StructArray.from_arrays([pa.array(v, mask=null) for v in (n, logp, np.exp(-logp / (n + 1)))], names=["n_words", "log_prob", "perplexity"])
 
     s = F.arrow_udf(run, "struct<n_words: bigint, log_prob: double, perplexity: double>")
-    return docs.select("doc_id", s("text").alias("s")).select("doc_id", "s.n_words", "s.log_prob", "s.perplexity")
+    return whole.select("doc_id", s("seq", "logn").alias("s")).select("doc_id", "s.n_words", "s.log_prob", "s.perplexity")

@@ -225,6 +225,33 @@ def test_brown_odd_inputs(spark):
     assert brown.perplexities(docs(spark, [])).count() == 0
 
 
+def test_every_word_has_its_own_count_and_a_class(spark):
+    r = random.Random(18)
+    often = ["ka", "ki", "mo", "mu"]
+    texts = [" ".join(r.choice(often) for _ in range(40)) for _ in range(60)] + ["ka seldom mo"] * 5 + ["ka rarely mo", "", "lonely rarest"]
+    got = {x["doc_id"]: x for x in brown.perplexities(docs(spark, [*enumerate(texts), (900, None)]), classes=1, share=0.05).collect()}
+    count = pd.Series(" ".join(texts).split()).value_counts()
+    met = np.zeros((brown._FIXED + 1, brown._FIXED + 1))
+    for t in texts:
+        c = [0, *[brown._FIXED] * len(t.split()), 0]
+        np.add.at(met, (c[:-1], c[1:]), 1)
+    logp = brown.transitions(met)
+    for i, t in enumerate(texts):
+        c = [0, *[brown._FIXED] * len(t.split()), 0]
+        assert np.isclose(got[i]["log_prob"], logp[c[:-1], c[1:]].sum() + sum(np.log(count[w] / count.sum()) for w in t.split()))
+    assert np.isclose(got[60]["log_prob"] - got[65]["log_prob"], np.log(5)) and got[900]["log_prob"] is None
+
+
+def test_seldom_words_join_the_class_of_their_neighbours():
+    k = brown._FIXED + 2
+    a, b = brown._FIXED, brown._FIXED + 1
+    met = np.ones((k, k))
+    met[a, b] = met[b, a] = 1000
+    word, context = np.array([1, 1, 2, 3, 3]), np.array([b * k + b, b * k + b, a * k + a, a * k + a, a * k + a])
+    c, n = brown.best_classes(word, context, met)
+    assert c.tolist() == [a, a, b, b, b] and n.tolist() == [2, 2, 1, 2, 2]
+
+
 # -- URLs -----------------------------------------------------------------------------------------------------------
 
 
