@@ -154,8 +154,8 @@ class Index:
             self.maps.append(m)
 
     def candidates(self, h: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place where the item would begin) of all agreements."""
-        found = [np.zeros((2, 0), np.int64)]
+        """(item, place where the item would begin, word that agrees) of all agreements."""
+        found = [np.zeros((3, 0), np.int64)]
         for (steps, sampled, seed, sig, item, anchor), seen in zip(self.families, self.maps):
             x = walk(h, end, steps, sampled, seed)
             at = np.flatnonzero(seen[x >> np.uint32(12)])
@@ -163,18 +163,17 @@ class Index:
             n = np.searchsorted(sig, x[at], "right") - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
             k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([item[k], np.repeat(at, n) - anchor[k]]))
-        both = np.concatenate(found, axis=1)
-        return both[0], both[1]
+            at = np.repeat(at, n)
+            found.append(np.stack([item[k], at - anchor[k], at]))
+        return tuple(np.concatenate(found, axis=1))
 
-    def verify(self, h: np.ndarray, first: np.ndarray, item: np.ndarray, begin: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    def verify(self, h: np.ndarray, first: np.ndarray, item: np.ndarray, begin: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(text, item) -> (edits, index of the word after the passage) of the candidates within the item's edits.
-        h: words of a run of texts; first: where each begins."""
+        h: words of a run of texts; first: where each begins. An item may reach over either border of the text of the
+        word that agrees (at)."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        size = np.array([len(w) for w in self.words])
-        # where an item would reach over a border, either text may hold it
-        text = [np.searchsorted(first, np.clip(x, 0, max(0, len(h) - 1)), "right") - 1 for x in (begin, begin + size[item] - 1)]
-        every = np.unique(np.concatenate([np.stack([item, t, begin - first[t] + (1 << 40)]) for t in text], axis=1), axis=1) if len(item) else np.zeros((3, 0), np.int64)
+        text = np.searchsorted(first, at, "right") - 1
+        every = np.unique(np.stack([item, text, begin - first[text] + (1 << 40)]), axis=1) if len(item) else np.zeros((3, 0), np.int64)
         cut = np.flatnonzero(np.diff(every[0])) + 1
         for one in np.split(every, cut, axis=1) if every.shape[1] else []:
             k = int(one[0, 0])
@@ -208,14 +207,13 @@ class Index:
             base = np.concatenate([[0], np.cumsum([len(x[1]) for x in held])])
             first = np.concatenate([*(x[2][:-1] + o for x, o in zip(held, base)), base[-1:]])
             item = np.concatenate([x[3] for x in held])
-            begin = np.concatenate([x[4] + o for x, o in zip(held, base)])
-            for (t, k), (e, stop) in self.verify(h, first, item, begin).items():
+            begin, at = (np.concatenate([x[k] + o for x, o in zip(held, base)]) for k in (4, 5))
+            for (t, k), (e, stop) in self.verify(h, first, item, begin, at).items():
                 rows.append((held[0][0] + t, self.ids[k], e, stop))
             held.clear()
 
         for a, _, w in word_chunks(texts) if self.families else ():
-            item, begin = self.candidates(w.hash, np.repeat(w.first[1:], np.diff(w.first)))
-            held.append((a, w.hash, w.first, item, begin))
+            held.append((a, w.hash, w.first, *self.candidates(w.hash, np.repeat(w.first[1:], np.diff(w.first)))))
             size += len(w.hash)
             if size > HELD:
                 settle()

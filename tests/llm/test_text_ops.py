@@ -315,6 +315,23 @@ def test_leaks_against_brute_force(spark):
     assert leaks.drop_contaminated(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_trimmed_items_are_found_wherever_they_stand():
+    r = random.Random(20)
+    items = [(i, sentence(r, r.randint(20, 50))) for i in range(20)]
+    texts, want = [sentence(r, 40)], []
+    for i, s in items:
+        w = s.split()
+        most = int(leaks.MAX_EDITS * len(w))
+        for k in range(most + 1):
+            texts.append(" ".join(w[k : len(w) - (most - k)]))
+            want.append((len(texts) - 1, i, most))
+    texts.append(sentence(r, 40))
+    index = leaks.Index(items)
+    for order in (1, -1):
+        got = index.matches(pa.array(texts[::order])).to_pylist()[::order]
+        assert {(t, x["item_id"], x["edits"]) for t, xs in enumerate(got) for x in xs} == set(want)
+
+
 def test_walks_past_the_end_hang_on_nothing_that_follows():
     r = np.random.default_rng(3)
     a, b = r.integers(1, 1 << 63, 40).astype(np.uint64), r.integers(1, 1 << 63, 30).astype(np.uint64)
