@@ -12,8 +12,11 @@ Walks that meet stay together, so the walks of *all* windows of a document are c
 the first, with one vectorised choice per step: ``H_j[i] = H_{j+1}[i + bit_j(i)]``, mixed with word i where step j is
 sampled. Every word of every document begins a window, and every word of an item an anchor; a document window that
 agrees with an anchor gives the place of an item-sized window, which Sellers' algorithm then verifies exactly. Walks at
-any of an item's anchors suffice, which carries recall: an unedited run of ``STEPS / 2`` words always agrees, and other
-anchors agree with the probability that no sampled step is out of line.
+any of an item's anchors suffice, which carries recall: an anchor agrees with the probability that no sampled step is
+out of line, and the more words an item has, the more anchors.
+
+Items of fewer than ``SHORT`` words have too few anchors for that. They are cut into one more run of words than there may
+be edits, so that one of these runs occurs word for word wherever the item does: they are all found.
 
 The index of the items is broadcast in parts of at most ``PART`` anchors, one pass over the documents for each part, so
 that memory stays bounded for a benchmark of any size.
@@ -39,8 +42,10 @@ from pyspark.sql import functions as F
 from .textops import mix, word_chunks, words
 
 MAX_EDITS = 0.2
-#: Steps of a walk, sampled steps, repetitions; for items of at least STEPS / 2 words.
+#: Steps of a walk, sampled steps, repetitions; for items of at least SHORT words.
 STEPS, SAMPLED, REPEATS = 16, 7, 6
+#: Shorter items are searched by runs of words.
+SHORT = 15
 #: Anchors in one broadcast index.
 PART = 2_000_000
 #: Candidate windows verified at once.
@@ -92,6 +97,15 @@ def walk(h: np.ndarray, end: np.ndarray, steps: int, sampled: int, seed: int) ->
     return sig[:-1]
 
 
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """32-bit signature of the ``size`` words from every word on. Runs that cross the end of a text are no candidates
+    that stand verification."""
+    sig = np.zeros(len(h), np.uint64)
+    for j in range(size):
+        sig = mix(sig * np.uint64(3) + np.append(h[j:], np.zeros(min(j, len(h)), np.uint64)))
+    return (sig >> np.uint64(32)).astype(np.uint32)
+
+
 def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sellers' algorithm on many windows (windows x width) at once: the least number of edits between the item and a
     run of a window, and where the first such run ends. A zero in a window is no word."""
@@ -114,7 +128,7 @@ def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.nda
 class Index:
     """Anchors of benchmark items by signature."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, steps: int = STEPS, sampled: int = SAMPLED, repeats: int = REPEATS):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, steps: int = STEPS, sampled: int = SAMPLED, repeats: int = REPEATS, short: int = SHORT):
         self.ids, self.words, self.edits = [], [], []
         for k, text in items:
             b = np.frombuffer(text.encode(), np.uint8)
@@ -123,30 +137,27 @@ class Index:
                 self.ids.append(k)
                 self.words.append(h)
                 self.edits.append(int(max_edits * len(h)))
-        #: Families of walks: (steps, sampled, seed), then sorted signatures with the item and the anchor of each.
+        #: Families of walks or, without sampled steps, runs: (steps, sampled, seed), then sorted signatures with the
+        #: item and the anchor of each.
         self.families = []
         self.n = 0
-        half = max(1, steps // 2)
-        sizes: dict[int, list[int]] = {}
+        found: dict[tuple[int, int, int], list[tuple[np.ndarray, int, np.ndarray]]] = {}
         for k, h in enumerate(self.words):
-            sizes.setdefault(half if len(h) >= half else 1 << (len(h).bit_length() - 1), []).append(k)
-        for size, which in sorted(sizes.items()):
-            # a short item gets a walk no longer than it is, since its walk must not leave it
-            s = steps if size == half else size
-            for r in range(repeats if size == half else max(1, repeats if size > 1 else 1)):
-                sig, item, anchor = [], [], []
-                for k in which:
-                    h = self.words[k]
-                    x = walk(h, np.full(len(h), len(h)), s, sampled, 1000 * size + r)
-                    # a walk that may run past the item depends on what follows it in a document
-                    inside = max(1, len(h) - size + 1)
-                    sig.append(x[:inside])
-                    item.append(np.full(inside, k))
-                    anchor.append(np.arange(inside))
-                sig, item, anchor = map(np.concatenate, (sig, item, anchor))
-                o = np.argsort(sig, kind="stable")
-                self.families.append((s, sampled, 1000 * size + r, sig[o], item[o], anchor[o]))
-                self.n += len(sig)
+            if len(h) < short:
+                cuts = np.arange(self.edits[k] + 2) * len(h) // (self.edits[k] + 1)
+                for x, y in zip(cuts[:-1], cuts[1:]):
+                    found.setdefault((int(y - x), 0, 0), []).append((runs(h[x:y], int(y - x))[:1], k, np.array([x])))
+                continue
+            # a walk that may run past the item depends on what follows it in a document
+            inside = max(1, len(h) - steps // 2 + 1)
+            for r in range(repeats):
+                seed = 1000 * (steps // 2) + r
+                found.setdefault((steps, sampled, seed), []).append((walk(h, np.full(len(h), len(h)), steps, sampled, seed)[:inside], k, np.arange(inside)))
+        for family, rows in sorted(found.items()):
+            sig, item, anchor = np.concatenate([x[0] for x in rows]), np.concatenate([np.full(len(x[0]), x[1]) for x in rows]), np.concatenate([x[2] for x in rows])
+            o = np.argsort(sig, kind="stable")
+            self.families.append((*family, sig[o], item[o], anchor[o]))
+            self.n += len(sig)
         self.maps = []
         for *_, sig, _, _ in self.families:
             m = np.zeros(1 << 20, bool)
@@ -157,7 +168,7 @@ class Index:
         """(item, place where the item would begin, word that agrees) of all agreements."""
         found = [np.zeros((3, 0), np.int64)]
         for (steps, sampled, seed, sig, item, anchor), seen in zip(self.families, self.maps):
-            x = walk(h, end, steps, sampled, seed)
+            x = walk(h, end, steps, sampled, seed) if sampled else runs(h, steps)
             at = np.flatnonzero(seen[x >> np.uint32(12)])
             lo = np.searchsorted(sig, x[at])
             n = np.searchsorted(sig, x[at], "right") - lo

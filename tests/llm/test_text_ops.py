@@ -332,6 +332,20 @@ def test_trimmed_items_are_found_wherever_they_stand():
         assert {(t, x["item_id"], x["edits"]) for t, xs in enumerate(got) for x in xs} == set(want)
 
 
+def test_short_items_are_all_found():
+    r = random.Random(21)
+    items = [(i, sentence(r, 5 + i % 8)) for i in range(80)]
+    texts = []
+    for k in range(800):
+        item = items[k % 80][1].split()
+        for at in sorted(r.sample(range(len(item)), len(item) // 5))[::-1]:
+            item[at : at + 1] = r.choice([[], ["zz"], [item[at], "zz"]])
+        texts.append(" ".join([*sentence(r, r.randint(0, 20)).split(), *item, *sentence(r, r.randint(0, 20)).split()]))
+    got = {(t, x["item_id"]): x["edits"] for t, xs in enumerate(leaks.Index(items).matches(pa.array(texts)).to_pylist()) for x in xs}
+    want = {(t, i): e for t, x in enumerate(texts) for i, s in items if (e := edits(s.split(), x.split())) <= len(s.split()) // 5}
+    assert len(want) >= 800 and got == want
+
+
 def test_walks_past_the_end_hang_on_nothing_that_follows():
     r = np.random.default_rng(3)
     a, b = r.integers(1, 1 << 63, 40).astype(np.uint64), r.integers(1, 1 << 63, 30).astype(np.uint64)
