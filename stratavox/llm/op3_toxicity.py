@@ -59,10 +59,14 @@ for _b in range(256):
         _CLASS[_b] = 27
     elif _b >= 128:
         _CLASS[_b] = 28 + _b % 36
+_SIGNS = re.escape("".join(LEET))
+_ONE = rf"(?:[^\W\d_]|[{_SIGNS}])"
+_SPACED = re.compile(rf"(?<!\w){_ONE}(?:([ .\-_*]){_ONE})(?:\1{_ONE})+(?!\w)")
+_TRACE = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1")
+#: Signs of the channel: of one byte by that byte, the others as their bytes.
 _SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in "0123456789@$!|+("]] = True
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_]|[0-9@$!|+])(?:([ .\-_*])(?:[^\W\d_]|[0-9@$!|+]))(?:\1(?:[^\W\d_]|[0-9@$!|+]))+(?!\w)")
-_TRACE = re.compile(r"[0-9@$!|+]|([^\W\d_])\1\1")
+_SIGN[[ord(c) for c in LEET if c.isascii()]] = True
+_WIDE = [c.encode() for c in LEET if not c.isascii()]
 _NOISE = re.compile(r"([^\w\s])\1{2,}$|[!.,;:?)\]}'\"|(]+$")
 
 
@@ -139,16 +143,30 @@ class Decoder:
         return max(states.values())[1].rstrip("\0")
 
 
+def _signs(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last bytes of the channel's signs."""
+    first = _SIGN[low]
+    last = first.copy()
+    for sign in _WIDE:
+        at = np.flatnonzero(low[: len(low) - len(sign) + 1] == sign[0])
+        for k, x in enumerate(sign):
+            at = at[low[at + k] == x]
+        first[at] = last[at + len(sign) - 1] = True
+    return first, last
+
+
 def _flags(w: Words, data: np.ndarray) -> np.ndarray:
-    """Bytes at which a token shows traces of the channel: a sign beside a letter, or a third letter in a row."""
+    """Bytes at which a token shows traces of the channel: a sign beside a letter, or a second letter in a row."""
     low = w.low
+    first, last = _signs(low)
     letter = ((low - np.uint8(97)) < 26) | (low >= 128)
-    sign = (((low - np.uint8(48)) < 10)) | (low == 64) | (low == 36) | (low == 33) | (low == 124) | (low == 43)
     flag = np.zeros(len(low), bool)
-    if len(low) > 2:
-        flag[1:] |= sign[1:] & letter[:-1]
-        flag[:-1] |= sign[:-1] & letter[1:]
-        flag[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] < 128)
+    if len(low) > 1:
+        flag[1:] |= first[1:] & letter[:-1]
+        flag[:-1] |= last[:-1] & letter[1:]
+        flag[1:] |= letter[1:] & (low[1:] == low[:-1]) & (low[1:] < 128)
+        # a letter of two bytes
+        flag[3:] |= (low[3:] == low[1:-2]) & (low[2:-1] == low[:-3]) & (low[2:-1] >= 0xC0)
     return flag
 
 
@@ -164,11 +182,17 @@ def noisy(data: np.ndarray, off: np.ndarray, w: Words) -> Iterator[tuple[int, st
     for k in flagged.tolist():
         token = w.low[starts[k] : ends[k]].tobytes().decode("utf-8", "ignore").strip()
         yield int(np.searchsorted(off, starts[k], "right")) - 1, token
-    # letters spelled one by one: four one-letter words in a row
-    one = (w.end - w.start == 1) | ((w.end - w.start == 2) & (w.low[np.minimum(w.start, len(w.low) - 1)] >= 0xC0))
-    near = np.append(w.start[1:] - w.end[:-1] <= 2, False) if len(w.start) else np.zeros(0, bool)
-    run = one[:-2] & one[1:-1] & one[2:] & near[:-2] & near[1:-1] if len(one) > 2 else np.zeros(0, bool)
-    docs = np.unique(np.searchsorted(off, w.start[:-2][run], "right") - 1) if run.any() else []
+    # letters or signs spelled one by one: three characters in a row with one between them
+    lead = np.flatnonzero((w.low & 0xC0) != 0x80)
+    low = w.low[lead]
+    sign = _signs(w.low)[0][lead]
+    one = ((low - np.uint8(97)) < 26) | (low >= 0xC0) | sign
+    gap = np.isin(low, np.frombuffer(b" .-_*", np.uint8))
+    wordy = ((low - np.uint8(97)) < 26) | ((low - np.uint8(48)) < 10) | (low == 95)
+    run = one[:-4] & gap[1:-3] & one[2:-2] & (low[1:-3] == low[3:-1]) & one[4:] if len(low) > 4 else np.zeros(0, bool)
+    run[1:] &= ~wordy[: len(run[1:])]
+    run[:-1] &= ~wordy[5:]
+    docs = np.unique(np.searchsorted(off, lead[:-4][run], "right") - 1) if run.any() else []
     for t in docs:
         for m in _SPACED.finditer(w.low[off[t] : off[t + 1]].tobytes().decode("utf-8", "ignore")):
             yield int(t), m.group().replace(m.group(1), "")
@@ -301,7 +325,7 @@ class Scorer:
             core = _NOISE.sub("", token)
             text = token
             if _TRACE.search(core):
-                text = " ".join(self.decoder.decode(x) for x in re.split(r"[^\w@$!|+(€¡£]+", core) if x)
+                text = " ".join(self.decoder.decode(x) for x in re.split(rf"[^\w{_SIGNS}]+", core) if x)
             b = np.frombuffer(text.encode(), np.uint8)
             self.seen[token] = (text, self.weights(words(b, np.array([0, len(b)]))) if len(b) else {})
         return self.seen[token]

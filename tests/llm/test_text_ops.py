@@ -149,6 +149,24 @@ def test_toxicity_finds_disguised_words_and_leaves_clean_ones(spark):
     assert toxic.toxicity(docs(spark, []), lab).count() == 0
 
 
+def test_all_signs_and_doubled_letters_pass_the_gate(spark):
+    words = ["s(um", "los€r", "st¡pid", "£oser", "stuupid", "morron", "éécole"]
+    spelled = {"s h @ m e": "sh@me", "l.o.s.€.r": "los€r", "“s t u p i d”": "stupid", "d-€-f": "d€f"}
+    texts = [*words, *spelled, "was a man", "plain words", ""]
+    data, off = textops.raw(pa.array([f"one {t} four" for t in texts]))
+    got = {}
+    for t, token in toxic.noisy(data, off, textops.words(data, off)):
+        got.setdefault(t, set()).add(token)
+    assert all(w in got[k] for k, w in enumerate([*words, *spelled.values()]))
+    assert not any(k in got for k in range(len(texts) - 3, len(texts)))
+    rows, labels = toxic_corpus()
+    r = random.Random(19)
+    tests = {1000: "wuugplex bliimbor", 1001: "b£¡mbor and b£imbor w u g p l € x"}
+    rows += [(k, sentence(r, 10, "etaoinshrd") + " " + t + " " + sentence(r, 10, "etaoinshrd")) for k, t in tests.items()]
+    out = {x["doc_id"]: x["toxic"] for x in toxic.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(out[k] for k in tests) and sum(out[i] != bool(y) for i, y in labels) <= 2
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.ones(toxic.CLASSES), (toxic.CLASSES, toxic.CLASSES)))
