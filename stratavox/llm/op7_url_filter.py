@@ -3,7 +3,7 @@
 Features: lengths, depth, shares of digits and of signs, entropy, parameters, parts and hyphens of the host, and
 statistics of the suffix (its share of all URLs, counted over the whole table). Trees are grown on histograms (quantile
 bins) of at most ``LABELLED`` labelled URLs, those with the least hash, on the driver; every URL is then scored,
-vectorised, without a shuffle.
+vectorised. Suffixes with at least one URL in ``1 / HOT`` are broadcast; URLs of the others meet their suffix by a shuffle.
 
 Labelled URLs are a table (url, label 0 or 1). Where none is given, URLs are labelled by their hosts: a host that has one
 of ``SEEDS`` as a part of its name is unwanted. The words themselves are not among the features.
@@ -25,14 +25,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hash
+from .common import Scratch, least_hash
 
 LABELLED = 20_000
+#: Least share of a suffix that is broadcast; the others are joined.
+HOT = 1e-4
 SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
 TREES, DEPTH, RATE, BINS, LEAF = 40, 3, 0.3, 32, 5
 NAMES = ("length", "host", "path", "depth", "digits", "signs", "entropy", "host_entropy", "params", "parts", "hyphens", "host_digits", "vowels", "longest", "secure", "fragment", "suffix_share", "suffix_length")
 
 _URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
+#: The host, of a URL in lower case.
+END = r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _entropy(s: str) -> float:
@@ -43,24 +47,19 @@ def _entropy(s: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def suffix(url: str) -> str:
-    """The last two parts of the host."""
-    return ".".join(_URL.match(url).group(2).lower().split(".")[-2:])
-
-
-def features(urls: pd.Series, shares: dict[str, float]) -> np.ndarray:
+def features(urls: pd.Series, shares: pd.Series) -> np.ndarray:
     rows = []
-    for u in urls:
+    for u, share in zip(urls, shares):
         if u is None:
             rows.append([0.0] * len(NAMES))
             continue
         scheme, host, path, query, fragment = _URL.match(u).groups("")
         host = host.lower()
-        parts, end = host.split("."), suffix(u)
+        parts = host.split(".")
         n = max(len(u), 1)
         rows.append(
             [len(u), len(host), len(path), path.count("/"), sum(c.isdigit() for c in u) / n, sum(not c.isalnum() for c in u) / n, _entropy(u), _entropy(host), sum(1 for p in query.split("&") if p), len(parts)]
-            + [host.count("-"), sum(c.isdigit() for c in host), sum(c in "aeiou" for c in host) / max(len(host), 1), max(map(len, parts)), scheme == "https", bool(fragment), shares.get(end, 0.0), len(parts[-1])]
+            + [host.count("-"), sum(c.isdigit() for c in host), sum(c in "aeiou" for c in host) / max(len(host), 1), max(map(len, parts)), scheme == "https", bool(fragment), share, len(parts[-1])]
         )
     return np.array(rows, float).reshape(-1, len(NAMES))
 
@@ -119,26 +118,36 @@ def seed_labels(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     return pages.filter(F.col("url").isNotNull()).select("url", host.rlike(r"(^|[.\-])(" + "|".join(seeds) + r")([.\-]|$)").cast("int").alias("label"))
 
 
-def filtered(pages: DataFrame, labelled: DataFrame | None = None, bound: int = LABELLED) -> DataFrame:
+def with_shares(urls: DataFrame, counts: DataFrame, hot: float = HOT) -> DataFrame:
+    """urls with the share of all URLs that end in the same suffix, the last two parts of the host. counts: end, n."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    shares = counts.select("end", (F.col("n") / total).alias("share"))
+    named = F.regexp_extract(F.lower("url"), END, 1)
+    tagged = urls.withColumn("end", F.substring_index(named, ".", -2))
+    # at most 1 / hot rows, whatever the input; they are never shuffled by their suffix
+    tagged = tagged.join(F.broadcast(shares.filter(F.col("share") >= hot)), "end", "left")
+    ready = F.col("share").isNotNull() | F.col("end").isNull()
+    rest = tagged.filter(~ready).drop("share").join(shares.filter(F.col("share") < hot), "end", "left")
+    return tagged.filter(ready).unionByName(rest).drop("end").fillna(0.0, ["share"])
+
+
+def filtered(pages: DataFrame, labelled: DataFrame | None = None, bound: int = LABELLED, hot: float = HOT) -> DataFrame:
     """page_id, score (log odds of an unwanted URL), blocked; a row for each row of pages."""
     labelled = labelled if labelled is not None else seed_labels(pages)
     every = labelled.filter("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
-    known = least_hash(every, "url", bound).toPandas()
-    named = F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    end = F.substring_index(named, ".", -2)
-    counts = pages.filter("url IS NOT NULL").groupBy(end.alias("end")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    # suffixes with at least one URL in 10,000: at most so many, whatever the input
-    shares = {r["end"]: r["n"] / total for r in counts.filter(F.col("n") >= total / 10_000).collect()}
+    end = F.substring_index(F.regexp_extract(F.lower("url"), END, 1), ".", -2)
+    counts = Scratch(pages.sparkSession, "urls").keep(pages.filter("url IS NOT NULL").groupBy(end.alias("end")).agg(F.count("*").alias("n")))
+    known = with_shares(least_hash(every, "url", bound), counts, hot).toPandas().sort_values("url")
     y = known["label"].to_numpy(float)
-    model = Trees(features(known["url"], shares), y) if 0 < y.sum() < len(y) else None
-    shared = pages.sparkSession.sparkContext.broadcast((model, shares))
+    model = Trees(features(known["url"], known["share"]), y) if 0 < y.sum() < len(y) else None
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    def score(urls: pd.Series) -> pd.Series:
-        model, shares = shared.value
+    def score(urls: pd.Series, shares: pd.Series) -> pd.Series:
+        model = shared.value
         out = model.predict(features(urls, shares)) if model else np.zeros(len(urls))
         return pd.Series(np.where(urls.isna(), np.nan, out))
 
     s = F.pandas_udf(score, "double")
-    out = pages.select("page_id", F.when(F.col("url").isNotNull(), s("url")).alias("score"))
+    out = with_shares(pages.select("page_id", "url"), counts, hot)
+    out = out.select("page_id", F.when(F.col("url").isNotNull(), s("url", "share")).alias("score"))
     return out.withColumn("blocked", F.coalesce(F.col("score") > 0, F.lit(False)))

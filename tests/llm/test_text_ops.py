@@ -285,6 +285,15 @@ def test_url_trees_on_held_out_urls(spark):
     assert urls.filtered(pages.limit(0)).count() == 0
 
 
+def test_every_suffix_has_its_share(spark):
+    rows = [(i, f"http://a.often.com/{i}") for i in range(15_000)] + [(20_000 + i, f"http://x{i}.rare{i}.org/") for i in range(50)] + [(30_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    counts = spark.createDataFrame([("often.com", 15_000), *((f"rare{i}.org", 1) for i in range(50))], "end string, n long")
+    got = {x["page_id"]: x["share"] for x in urls.with_shares(pages, counts).collect()}
+    assert len(got) == len(rows) and got[30_000] == 0
+    assert got[0] == 15_000 / 15_050 and all(got[20_000 + i] == 1 / 15_050 for i in range(50))
+
+
 # -- decontamination ------------------------------------------------------------------------------------------------
 
 
