@@ -220,21 +220,117 @@ def test_discriminant_against_densities(spark):
 # -- language model -------------------------------------------------------------------------------------------------
 
 
-def test_brown_model_sums_to_one_and_learns(spark):
+def naive_exchange(pairs, classes, rounds):
+    """Word by word, with all counts made anew for every class that is tried."""
+    v, k = len(pairs), brown.FIRST + classes
+    member = np.arange(v)
+    member[brown.FIRST :] = brown.FIRST + np.arange(v - brown.FIRST) % classes
+
+    def total(m):
+        n = np.zeros((k, k))
+        np.add.at(n, (m[:, None], m[None, :]), pairs)
+        return brown.likelihood(n)
+
+    for _ in range(rounds):
+        before = member.copy()
+        for w in range(brown.FIRST, v):
+            tried = []
+            for c in range(brown.FIRST, k):
+                member[w] = c
+                tried.append(total(member))
+            stay = tried[before[w] - brown.FIRST]
+            best = int(np.argmax(tried))
+            member[w] = before[w] if tried[best] <= stay + 1e-6 else brown.FIRST + best
+        if (member == before).all():
+            break
+    return member, total(member)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exchange_is_that_of_word_by_word_and_never_lowers_the_likelihood(seed):
+    r = np.random.default_rng(seed)
+    hidden, follow = r.integers(0, 6, 60), r.dirichlet(np.full(6, 0.3), 6)
+    words, c = [], 0
+    for _ in range(8000):
+        c = r.choice(6, p=follow[c])
+        words.append(r.choice(np.append(np.flatnonzero(hidden == c), 59)))
+    _, words = np.unique(-np.bincount(words, minlength=60)[words] * 64 + np.array(words), return_inverse=True)  # by frequency
+    v = words.max() + 1 + brown.FIRST
+    pairs = np.zeros((v, v))
+    np.add.at(pairs, (words[:-1] + brown.FIRST, words[1:] + brown.FIRST), 1)
+    pairs[0, words[0] + brown.FIRST] = pairs[words[-1] + brown.FIRST, 0] = 1
+    member, met, history = brown.exchange(pairs, 8, 4)
+    again = np.zeros_like(met)
+    np.add.at(again, (member[:, None], member[None, :]), pairs)
+    assert np.allclose(met, again) and np.isclose(history[-1], brown.likelihood(again))
+    assert all(y >= x - 1e-6 for x, y in zip(history, history[1:])) and history[-1] > history[0]
+    assert abs(naive_exchange(pairs, 8, 4)[1] - history[-1]) < 1e-3 * abs(history[-1])
+
+
+def test_brown_model_against_brute_force(spark):
+    r = random.Random(8)
+    kinds = [["ka", "ki", "ku", "kab", "kib"], ["mo", "mu", "me", "mob", "mub"], ["tisa", "tiso", "tise"]]
+    seldom = [[f"k{i}x" for i in range(30)], [f"m{i}x" for i in range(30)], [f"t{i}x" for i in range(30)]]
+    pick = lambda k: r.choice(seldom[k]) if r.random() < 0.2 else r.choice(kinds[k])
+    texts = [" ".join(pick(i % 3) for i in range(r.randint(3, 60))) for _ in range(120)] + ["", "Ka, MO!", "ka seldom mo", "lonely rarest"]
+    classes, rounds, share, core = 4, 5, 3e-3, 9
+    got = {x["doc_id"]: x for x in brown.perplexities(docs(spark, [*enumerate(texts), (900, None)]).repartition(3), classes, rounds, share, core).collect()}
+
+    split = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    key = lambda w: int(np.array([textops.hash_word(w) & ~255], np.uint64).view(np.int64)[0])
+    count = pd.Series([w for t in split for w in t]).value_counts()
+    assert (count >= share * count.sum()).sum() > core and (count < share * count.sum()).sum() > 20  # all ways are taken
+    ids = {w: k + brown.FIRST for k, w in enumerate(sorted(count.index, key=lambda w: (-count[w], key(w)))[:core])}
+    v, k = core + brown.FIRST, brown.FIRST + classes
+    pairs = np.zeros((v, v))
+    for t in split:
+        s = [0, *(ids.get(w, brown.OTHER) for w in t), 0]
+        np.add.at(pairs, (s[:-1], s[1:]), 1)
+    member, _ = naive_exchange(pairs, classes, rounds)
+    met = np.zeros((k, k))
+    np.add.at(met, (member[:, None], member[None, :]), pairs)
+    cls = {w: member[i] for w, i in ids.items()}
+    moved = {}
+    x = lambda z: z * np.log(z) if z else 0.0
+    for word in set(count.index) - set(ids):
+        before, after = np.zeros(k), np.zeros(k)
+        for t in split:
+            s = [0, *(cls.get(w, brown.OTHER) for w in t), 0]
+            for i, w in enumerate(t):
+                if w == word:
+                    before[s[i]] += 1
+                    after[s[i + 2]] += 1
+        gain = []
+        for c in range(brown.FIRST, k):
+            g = sum(x(met[a, c] + before[a]) - x(met[a, c]) + x(met[c, a] + after[a]) - x(met[c, a]) for a in range(k))
+            rows, cols = met[c].sum(), met[:, c].sum()
+            gain.append(g - x(rows + count[word]) + x(rows) - x(cols + count[word]) + x(cols))
+        moved[word] = brown.FIRST + int(np.argmax(gain))
+    cls |= moved
+    full = np.zeros((k, k))
+    for t in split:
+        s = [0, *(cls[w] for w in t), 0]
+        np.add.at(full, (s[:-1], s[1:]), 1)
+    logp = brown.transitions(full)
+    assert np.allclose(np.exp(logp).sum(1), 1)
+    for i, t in enumerate(split):
+        s = [0, *(cls[w] for w in t), 0]
+        want = logp[s[:-1], s[1:]].sum() + sum(np.log(count[w] / full[:, cls[w]].sum()) for w in t)
+        assert got[i]["n_words"] == len(t) and np.isclose(got[i]["log_prob"], want)
+        assert np.isclose(got[i]["perplexity"], np.exp(-want / (len(t) + 1)))
+    assert got[900]["log_prob"] is None
+
+
+def test_brown_model_learns_order(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(["ka", "ki", "ku"]) + " " + r.choice(["mo", "mu", "me"]) for _ in range(60))) for i in range(80)]
-    shuffled = [(500, " ".join(r.sample(" ".join(rows[0][1].split()).split(), 120)))]
-    m = brown.train(docs(spark, rows), classes=4, rounds=4, share=1e-3)
-    assert np.allclose(np.exp(m.pairs).sum(1), 1)
-    words = m.lexicon.size - brown._FIXED
-    assert words == 6
-    for c in set(m.classes[brown._FIXED :].tolist()):
-        assert np.isclose(np.exp(m.emission[brown._FIXED :][m.classes[brown._FIXED :] == c]).sum(), 1)
-    # the two parts of speech don't share a class
-    cls = {w: m.classes[brown._FIXED + int(np.searchsorted(m.lexicon.keys, np.uint64((textops.hash_word(w) & ~7) | 1)))] for w in ("ka", "ki", "ku", "mo", "mu", "me")}
-    assert {cls[w] for w in ("ka", "ki", "ku")}.isdisjoint({cls[w] for w in ("mo", "mu", "me")})
-    s = m.score(pa.array([rows[0][1], shuffled[0][1]])).to_pylist()
-    assert s[0]["perplexity"] < s[1]["perplexity"]
+    shuffled = [(500, " ".join(r.sample(rows[0][1].split(), 120)))]
+    m = brown.cluster(docs(spark, rows), classes=4, rounds=4)
+    cls = dict(zip(m.core.tolist(), m.member.tolist()))
+    part = [{cls[textops.hash_word(w) & ~255] for w in words} for words in (("ka", "ki", "ku"), ("mo", "mu", "me"))]
+    assert len(m.core) == 6 and part[0].isdisjoint(part[1])
+    got = {x["doc_id"]: x["perplexity"] for x in brown.perplexities(docs(spark, rows + shuffled), classes=4).collect()}
+    assert got[0] < got[500]
 
 
 def test_brown_odd_inputs(spark):
@@ -243,31 +339,20 @@ def test_brown_odd_inputs(spark):
     assert brown.perplexities(docs(spark, [])).count() == 0
 
 
-def test_every_word_has_its_own_count_and_a_class(spark):
-    r = random.Random(18)
-    often = ["ka", "ki", "mo", "mu"]
-    texts = [" ".join(r.choice(often) for _ in range(40)) for _ in range(60)] + ["ka seldom mo"] * 5 + ["ka rarely mo", "", "lonely rarest"]
-    got = {x["doc_id"]: x for x in brown.perplexities(docs(spark, [*enumerate(texts), (900, None)]), classes=1, share=0.05).collect()}
-    count = pd.Series(" ".join(texts).split()).value_counts()
-    met = np.zeros((brown._FIXED + 1, brown._FIXED + 1))
-    for t in texts:
-        c = [0, *[brown._FIXED] * len(t.split()), 0]
-        np.add.at(met, (c[:-1], c[1:]), 1)
-    logp = brown.transitions(met)
-    for i, t in enumerate(texts):
-        c = [0, *[brown._FIXED] * len(t.split()), 0]
-        assert np.isclose(got[i]["log_prob"], logp[c[:-1], c[1:]].sum() + sum(np.log(count[w] / count.sum()) for w in t.split()))
-    assert np.isclose(got[60]["log_prob"] - got[65]["log_prob"], np.log(5)) and got[900]["log_prob"] is None
-
-
-def test_seldom_words_join_the_class_of_their_neighbours():
-    k = brown._FIXED + 2
-    a, b = brown._FIXED, brown._FIXED + 1
-    met = np.ones((k, k))
-    met[a, b] = met[b, a] = 1000
-    word, context = np.array([1, 1, 2, 3, 3]), np.array([b * k + b, b * k + b, a * k + a, a * k + a, a * k + a])
-    c, n = brown.best_classes(word, context, met)
-    assert c.tolist() == [a, a, b, b, b] and n.tolist() == [2, 2, 1, 2, 2]
+def test_counts_beyond_a_packed_cell_are_kept(monkeypatch):
+    monkeypatch.setattr(brown, "_MOST", 4)
+
+    class Shared:
+        value = (brown.Lexicon(np.zeros(0, np.uint64), **{"class": (np.zeros(0, np.uint8), brown.OTHER)}), 5)
+
+    texts = pa.RecordBatch.from_arrays([pa.array(["ka " * 11 + "ki", "ki"])], names=["text"])
+    total = {}
+    for b in brown._contexts(Shared)(iter([texts])):
+        for w, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for x in np.frombuffer(cells, np.uint32).tolist():
+                total[w, x & 255] = total.get((w, x & 255), 0) + (x >> 8)
+    ka, ki = (int(np.array([textops.hash_word(w) & ~255], np.uint64).view(np.int64)[0]) for w in ("ka", "ki"))
+    assert total == {(ka, 0): 1, (ka, 1): 10, (ka, 6): 11, (ki, 0): 1, (ki, 1): 1, (ki, 5): 2}
 
 
 # -- URLs -----------------------------------------------------------------------------------------------------------
