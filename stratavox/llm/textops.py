@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +59,71 @@ def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def lower(data: np.ndarray) -> np.ndarray:
-    """Bytes in lower case: ASCII and the letters of Latin-1."""
+#: Scripts that are written without spaces: each of their characters is a word.
+SOLO = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+#: Kinds of characters: part of a word; a mark, which never begins a word of a script without spaces; a word by itself.
+PART, MARK, ALONE, ALONE_MARK = 1, 2, 3, 4
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of every code point (0: between words), and its lower case where that takes as many bytes."""
+    kind, small = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in [*range(0x80, 0x20000), *range(0xE0100, 0xE01F0)]:
+        x = chr(c)
+        group = unicodedata.category(x)
+        if group[0] in "LN":
+            kind[c] = PART
+        elif group[0] == "M" or c in (0x200C, 0x200D):
+            kind[c] = MARK
+        if group[0] == "L" or group in ("Nl", "So"):
+            y = x.lower()
+            if len(y) == 1 and len(y.encode()) == len(x.encode()):
+                small[c] = ord(y)
+    small[0x3C2] = 0x3C3  # the two small forms of one Greek letter
+    kind[0x20000:0x40000] = PART
+    for a, b in SOLO:
+        part = kind[a : b + 1]
+        kind[a : b + 1] = np.where(part == PART, ALONE, np.where(part == MARK, ALONE_MARK, part))
+    return kind, small
+
+
+def _decoded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the characters beyond ASCII begin, their bytes, and their code points. data is valid UTF-8."""
+    at = np.flatnonzero(data >= 0xC0)
+    b = data[at].astype(np.uint32)
+    size = np.where(b < 0xE0, 2, np.where(b < 0xF0, 3, 4))
+    code = np.where(size == 2, b & 31, np.where(size == 3, b & 15, b & 7))
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = code[more] << np.uint32(6) | (data[at[more] + k] & np.uint8(63))
+    return at, size, code
+
+
+def _lowered(data: np.ndarray, at: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
     low = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
-    at = np.flatnonzero(data[:-1] == 0xC3) + 1
     if len(at):
-        at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
-        low[at] += 32
+        small = _characters()[1][code]
+        big = np.flatnonzero(small != code)
+        at, size, small = at[big], size[big], small[big]
+        for k in range(4):  # the last byte first
+            more = size > k
+            first = np.where(size == 2, 0xC0, np.where(size == 3, 0xE0, 0xF0))[more]
+            x = small[more]
+            low[at[more] + size[more] - 1 - k] = np.where(size[more] == k + 1, first | x, 0x80 | (x & 63))
+            small = small >> np.uint32(6)
     return low
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes in lower case, in all scripts; but for the few letters whose small form takes another number of bytes."""
+    return _lowered(data, *_decoded(data))
+
+
 @dataclass
 class Words:
-    """Words of a run of texts: maximal runs of ASCII letters, digits and non-ASCII characters, in lower case."""
+    """Words of a run of texts, in lower case: maximal runs of letters, digits and marks of any script; in scripts
+    without spaces each character (with its marks) is a word."""
 
     hash: np.ndarray
     start: np.ndarray
@@ -85,17 +139,25 @@ class Words:
 
 def words(data: np.ndarray, off: np.ndarray) -> Words:
     n = len(data)
-    isw = (((data | np.uint8(32)) - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10) | (data >= 128)
-    begin = isw.copy()
-    begin[1:] &= ~isw[:-1]
-    stop = isw.copy()
-    stop[:-1] &= ~isw[1:]
-    at = off[:-1][off[:-1] < n]
-    begin[at] = isw[at]
-    at = off[1:][off[1:] > 0] - 1
-    stop[at] = isw[at]
+    isw = (((data | np.uint8(32)) - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
+    at, size, code = _decoded(data)
+    cut = np.zeros(n + 1, bool)  # where a word begins though the byte before belongs to one
+    cut[off] = True
+    if len(at):
+        kind = _characters()[0][code]
+        for k in range(4):
+            isw[at[size > k] + k] = kind[size > k] > 0
+        cut[at[kind == ALONE]] = True
+        alone = (kind == ALONE) | (kind == ALONE_MARK)
+        after = at[alone] + size[alone]
+        mark = np.zeros(n + 1, bool)
+        mark[at[(kind == MARK) | (kind == ALONE_MARK)]] = True
+        cut[after[~mark[after]]] = True
+    begin, stop = isw.copy(), isw.copy()
+    begin[1:] &= ~isw[:-1] | cut[1:-1]
+    stop[:-1] &= ~isw[1:] | cut[1:-1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    low = lower(data)
+    low = _lowered(data, at, size, code)
     up, _ = _powers(n)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
