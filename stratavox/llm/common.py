@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +25,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset and all runs in one process (tests),
+    a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stratavox-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,11 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation from the start.
 
-    ``drop`` removes tables that no later plan reads."""
+    ``drop`` removes tables that no later plan reads. The other tables of an operator are needed as long as its result
+    is; ``sweep`` removes them once that has been written."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/stratavox-{name}-{uuid.uuid4().hex[:12]}", 0
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -52,8 +61,29 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._scratch_path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    @classmethod
+    def sweep(cls, since: int = 0) -> None:
+        """Deletes all tables of those made after the first ``since``."""
+        for x in cls.made[since:]:
+            x._delete(x.root)
+        del cls.made[since:]
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """These names, changed as far as needed to be unlike the names taken and each other; case doesn't count."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
 
 
 def fits(ids: DataFrame) -> bool:
@@ -67,21 +97,24 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if fits(ids) else ids.hint("shuffle_hash")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
     """docs but for those whose doc_id is in ids (written, distinct, one column). Rows without a doc_id stay."""
-    ids = sized(ids.select(F.col(ids.columns[0]).alias("__drop")))
-    return docs.join(ids, docs["doc_id"] == F.col("__drop"), "left_anti")
+    (name,) = fresh(docs.columns, "gone_id")
+    ids = sized(ids.select(F.col(ids.columns[0]).alias(name)))
+    return docs.join(ids, docs["doc_id"] == ids[name], how)
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids."""
-    ids = sized(ids.select(F.col(ids.columns[0]).alias("__only")))
-    return docs.join(ids, docs["doc_id"] == F.col("__only"), "left_semi")
+    return without(docs, ids, "left_semi")
 
 
-def plain(docs: DataFrame, *cols: str) -> DataFrame:
-    """Just the named columns, so that extra columns can't clash with the operator's own."""
-    return docs.select(*cols)
+def one_of_each(docs: DataFrame, *keys: Column) -> DataFrame:
+    """Of the rows with equal keys the first in the order of all columns. Tasks pass on one row for each key, so that a
+    key of any number of rows is no burden."""
+    names = fresh([], *(f"k{i}" for i in range(len(keys))))
+    key = [k.alias(n) for k, n in zip(keys, names)]
+    return docs.groupBy(*key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*order_of(docs.columns))).alias("row")).select("row.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, order_of, sized
+from .common import Scratch, fresh, one_of_each, sized
 
 #: A digest is a heavy hitter if more than one row in so many carries it.
 HEAVY = 4096
@@ -96,15 +96,16 @@ def drop_copies(docs: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS) -
     """docs with one row for each text; all columns."""
     scratch = Scratch(docs.sparkSession, "exact")
     fate = scratch.keep(decide(docs, heavy, counters, scratch).groupBy("doc_id", "h").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")))
-    gone = fate.filter((F.col("kept") == 0) | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    match = lambda d: (docs["doc_id"] == d["__id"]) & (F.xxhash64(docs["text"]) == d["__h"])
-    out = docs.join(gone := sized(gone), match(gone), "left_anti")
-    again = fate.filter((F.col("kept") > 0) & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    i, h = fresh(docs.columns, "copy_id", "copy_hash")
+    named = lambda d: sized(d.select(F.col("doc_id").alias(i), F.col("h").alias(h)))
+    match = lambda d: (docs["doc_id"] == d[i]) & (F.xxhash64(docs["text"]) == d[h])
+    gone = named(fate.filter((F.col("kept") == 0) | (F.col("n") > 1)))
+    out = docs.join(gone, match(gone), "left_anti")
+    again = fate.filter((F.col("kept") > 0) & (F.col("n") > 1))
     if again.isEmpty():
         return out
-    one = Window.partitionBy("doc_id", "text").orderBy(*order_of(docs.columns))
-    rows = docs.join(again := sized(again), match(again), "left_semi")
-    return out.unionByName(rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n"))
+    again = named(again)
+    return out.unionByName(one_of_each(docs.join(again, match(again), "left_semi"), docs["doc_id"], docs["text"]))
 
 
 ORACLE_SQL = """
