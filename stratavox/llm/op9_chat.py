@@ -13,7 +13,8 @@ Defined results:
 - NULL conv_id: belongs to no dialogue; left out. NULL turn sorts first. NULL or empty role: the speaker "unknown".
 - NULL text is an empty turn. Empty and very long texts are turns like others.
 - Ties of turn are ordered by role, then text; repeated rows are repeated turns.
-- Markup in a text is made harmless: ``<|`` becomes ``< |``.
+- Markup in a text or a role is made harmless: ``<|`` becomes ``< |``, in a role also ``|>`` becomes ``| >`` and a line
+  break a space, so that no participant can forge a turn. Roles that are equal then are one speaker.
 - The role "system" gives context to all and is no participant; a dialogue without participants gives no row.
 - An empty table gives an empty result; extra columns are ignored.
 """
@@ -26,6 +27,12 @@ from pyspark.sql import functions as F
 END = "<|end|>\n"
 
 
+def _harmless(role: Column) -> Column:
+    for a, b in (("\n", " "), ("<|", "< |"), ("|>", "| >")):
+        role = F.replace(role, F.lit(a), F.lit(b))
+    return role
+
+
 def _head(role: Column, speaker: Column) -> Column:
     return F.when(role == "system", F.lit("<|system|>\n")).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
 
@@ -35,7 +42,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     c = conversations.filter(F.col("conv_id").isNotNull()).select(
         "conv_id",
         "turn",
-        F.when(F.coalesce("role", F.lit("")) == "", "unknown").otherwise(F.col("role")).alias("role"),
+        F.when(F.coalesce("role", F.lit("")) == "", "unknown").otherwise(_harmless(F.col("role"))).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
@@ -61,7 +68,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role,
+  SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE replace(replace(replace(role, chr(10), ' '), '<|', '< |'), '|>', '| >') END AS role,
          replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), n AS (
