@@ -26,6 +26,7 @@ Defined results:
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -371,14 +372,22 @@ class Scorer:
         return pa.StructArray.from_arrays([pa.array(s), pa.array((s > 0) & (weight > 0)), e.field(2)], names=["score", "toxic", "restored"])
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(key: str, shared) -> Scorer:
+    """The scorer of a Python worker, kept from task to task; one at a time."""
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(*shared.value)
+    return _scorers[key]
+
+
 def _holder(shared, method: str):
-    """One scorer for each Python worker and model."""
-    held: list[Scorer] = []
+    key = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Scorer(*shared.value))
-        return getattr(held[0], method)(texts)
+        return getattr(scorer_of(key, shared), method)(texts)
 
     return run
 
