@@ -5,27 +5,29 @@ statistics of the suffix (its share of all URLs, counted over the whole table).
 bins) of at most ``LABELLED`` labelled URLs, those with the least hash, on the driver; every URL is then scored,
 vectorised. Suffixes with at least one URL in ``1 / HOT`` are broadcast; URLs of the others meet their suffix by a shuffle.
 
-Labelled URLs are a table (url, label 0 or 1). Where none is given, URLs are labelled by their hosts: a host that has one
-of ``SEEDS`` as a part of its name is unwanted. The words themselves are not among the features.
+Labelled URLs are a table (url, label 0 or 1). ``weak_labels`` makes one by a rule, where there is none better: a host that
+has one of ``SEEDS`` as a part of its name is unwanted. The words themselves are not among the features.
+
+All features are built-in expressions but the entropies, which are counted over the bytes of a batch at once.
 
 Defined results:
 
 - NULL url: NULL score, not blocked. An empty or malformed url has the features that can be read off it.
 - Very long urls are read whole. Labels of one class, or none: score 0 (even odds), nothing is blocked.
-- Ties (log odds exactly 0) are not blocked. Repeated rows give repeated results, and repeated labelled URLs count once.
+- Ties (log odds exactly 0) are not blocked. Repeated rows give repeated results, and repeated labelled URLs count once,
+  as unwanted if any label says so.
 - Empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, least_hash
+from .textops import chunks, raw
 
 LABELLED = 20_000
 #: Least share of a suffix that is broadcast; the others are joined.
@@ -34,34 +36,41 @@ SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
 TREES, DEPTH, RATE, BINS, LEAF = 40, 3, 0.3, 32, 5
 NAMES = ("length", "host", "path", "depth", "digits", "signs", "entropy", "host_entropy", "params", "parts", "hyphens", "host_digits", "vowels", "longest", "secure", "fragment", "suffix_share", "suffix_length")
 
-_URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
-#: The host, of a URL in lower case.
-END = r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)"
-
-
-def _entropy(s: str) -> float:
-    if not s:
-        return 0.0
-    n = np.bincount(np.frombuffer(s.encode("utf-8", "replace"), np.uint8))
-    p = n[n > 0] / n.sum()
-    return float(-(p * np.log2(p)).sum())
-
-
-def features(urls: pd.Series, shares: pd.Series) -> np.ndarray:
-    rows = []
-    for u, share in zip(urls, shares):
-        if u is None:
-            rows.append([0.0] * len(NAMES))
-            continue
-        scheme, host, path, query, fragment = _URL.match(u).groups("")
-        host = host.lower()
-        parts = host.split(".")
-        n = max(len(u), 1)
-        rows.append(
-            [len(u), len(host), len(path), path.count("/"), sum(c.isdigit() for c in u) / n, sum(not c.isalnum() for c in u) / n, _entropy(u), _entropy(host), sum(1 for p in query.split("&") if p), len(parts)]
-            + [host.count("-"), sum(c.isdigit() for c in host), sum(c in "aeiou" for c in host) / max(len(host), 1), max(map(len, parts)), scheme == "https", bool(fragment), share, len(parts[-1])]
-        )
-    return np.array(rows, float).reshape(-1, len(NAMES))
+#: What comes before the host of a URL, the host (in lower case), and all that may follow.
+_BEFORE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?"
+END = _BEFORE + "([^/?#:]*)"
+_WHOLE = r"(?s)" + END + r"(?::\d*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+
+
+def entropies(texts: pa.Array) -> np.ndarray:
+    """Bits a byte of each text; 0 for an empty one."""
+    data, off = raw(texts)
+    out = np.zeros(len(off) - 1)
+    for a, b in chunks(off):
+        size = np.diff(off[a : b + 1])
+        for lo in range(0, b - a, 1024):
+            n = size[lo : lo + 1024]
+            row = np.repeat(np.arange(len(n)), n)
+            count = np.bincount(row * 256 + data[off[a + lo] : off[a + lo + len(n)]], minlength=256 * len(n)).reshape(-1, 256)
+            share = count / np.maximum(n, 1)[:, None]
+            out[a + lo : a + lo + len(n)] = -(share * np.log2(np.maximum(share, 1e-300))).sum(1)
+    return out + 0.0
+
+
+def features(url: Column, share: Column) -> list[Column]:
+    """The features of a URL in the order of NAMES, as doubles; 0 for NULL."""
+    entropy = F.arrow_udf(lambda x: pa.array(entropies(x)), "double")
+    part = lambda k: F.regexp_extract(url, _WHOLE, k)
+    host, path, query = F.lower(part(1)), part(2), part(3)
+    count = lambda c, what: F.length(F.regexp_replace(c, f"[^{what}]", ""))
+    n = F.greatest(F.length(url), F.lit(1))
+    parts = F.split(host, r"\.")
+    made = [
+        F.length(url), F.length(host), F.length(path), count(path, "/"), count(url, "0-9") / n, F.length(F.regexp_replace(url, r"[\p{L}\p{N}]", "")) / n, entropy(url), entropy(host),
+        F.size(F.filter(F.split(query, "&"), lambda x: x != "")), F.size(parts), count(host, "\\-"), count(host, "0-9"), count(host, "aeiou") / F.greatest(F.length(host), F.lit(1)),
+        F.array_max(F.transform(parts, F.length)), F.startswith(url, F.lit("https:")), part(4) != "", share, F.length(F.element_at(parts, -1)),
+    ]
+    return [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(NAMES, made)]
 
 
 class Trees:
@@ -112,18 +121,21 @@ class Trees:
         return out
 
 
-def seed_labels(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def weak_labels(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """url, label by the parts of the host."""
     host = F.lower(F.regexp_extract("url", r"//([^/?#]*)", 1))
     return pages.filter(F.col("url").isNotNull()).select("url", host.rlike(r"(^|[.\-])(" + "|".join(seeds) + r")([.\-]|$)").cast("int").alias("label"))
 
 
+def _suffix(url: Column) -> Column:
+    return F.substring_index(F.regexp_extract(F.lower(url), END, 1), ".", -2)
+
+
 def with_shares(urls: DataFrame, counts: DataFrame, hot: float = HOT) -> DataFrame:
     """urls with the share of all URLs that end in the same suffix, the last two parts of the host. counts: end, n."""
     total = counts.agg(F.sum("n")).first()[0] or 1
     shares = counts.select("end", (F.col("n") / total).alias("share"))
-    named = F.regexp_extract(F.lower("url"), END, 1)
-    tagged = urls.withColumn("end", F.substring_index(named, ".", -2))
+    tagged = urls.withColumn("end", _suffix(F.col("url")))
     # at most 1 / hot rows, whatever the input; they are never shuffled by their suffix
     tagged = tagged.join(F.broadcast(shares.filter(F.col("share") >= hot)), "end", "left")
     ready = F.col("share").isNotNull() | F.col("end").isNull()
@@ -131,23 +143,23 @@ def with_shares(urls: DataFrame, counts: DataFrame, hot: float = HOT) -> DataFra
     return tagged.filter(ready).unionByName(rest).drop("end").fillna(0.0, ["share"])
 
 
-def filtered(pages: DataFrame, labelled: DataFrame | None = None, bound: int = LABELLED, hot: float = HOT) -> DataFrame:
-    """page_id, score (log odds of an unwanted URL), blocked; a row for each row of pages."""
-    labelled = labelled if labelled is not None else seed_labels(pages)
-    every = labelled.filter("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
-    end = F.substring_index(F.regexp_extract(F.lower("url"), END, 1), ".", -2)
-    counts = Scratch(pages.sparkSession, "urls").keep(pages.filter("url IS NOT NULL").groupBy(end.alias("end")).agg(F.count("*").alias("n")))
-    known = with_shares(least_hash(every, "url", bound), counts, hot).toPandas().sort_values("url")
+def filtered(pages: DataFrame, labelled: DataFrame, bound: int = LABELLED, hot: float = HOT) -> DataFrame:
+    """page_id, score (log odds of an unwanted URL), blocked; a row for each row of pages. labelled: url, label."""
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "urls")
+    every = scratch.keep(labelled.filter("url IS NOT NULL AND label IN (0, 1)").groupBy("url").agg(F.max("label").alias("label")))
+    counts = scratch.keep(pages.filter("url IS NOT NULL").groupBy(_suffix(F.col("url")).alias("end")).agg(F.count("*").alias("n")))
+    known = with_shares(least_hash(every, "url", bound), counts, hot)
+    known = known.select("url", "label", *features(F.col("url"), F.col("share"))).toPandas().sort_values("url")  # at most ``bound`` rows
     y = known["label"].to_numpy(float)
-    model = Trees(features(known["url"], known["share"]), y) if 0 < y.sum() < len(y) else None
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    model = Trees(known[list(NAMES)].to_numpy(float), y) if 0 < y.sum() < len(y) else None
+    shared = spark.sparkContext.broadcast(model)
 
-    def score(urls: pd.Series, shares: pd.Series) -> pd.Series:
-        model = shared.value
-        out = model.predict(features(urls, shares)) if model else np.zeros(len(urls))
-        return pd.Series(np.where(urls.isna(), np.nan, out))
+    def score(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        return pa.array(shared.value.predict(x) if shared.value else np.zeros(len(x)))
 
-    s = F.pandas_udf(score, "double")
-    out = with_shares(pages.select("page_id", "url"), counts, hot)
-    out = out.select("page_id", F.when(F.col("url").isNotNull(), s("url", "share")).alias("score"))
+    s = F.arrow_udf(score, "double")
+    out = with_shares(pages.select("page_id", "url"), counts, hot).select("page_id", "url", *features(F.col("url"), F.col("share")))
+    out = out.select("page_id", F.when(F.col("url").isNotNull(), s(*NAMES)).alias("score"))
     return out.withColumn("blocked", F.coalesce(F.col("score") > 0, F.lit(False)))

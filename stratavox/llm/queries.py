@@ -21,7 +21,8 @@ QUERIES = {
     "op4_bpe": _over(op4_bpe.encode, "documents"),
     "op5_quality": _over(op5_quality.quality, "documents", "labels"),
     "op6_brown_lm": _over(op6_brown_lm.perplexities, "documents"),
-    "op7_url_filter": _over(op7_url_filter.filtered, "pages"),
+    # no table labels URLs
+    "op7_url_filter": _over(lambda pages: op7_url_filter.filtered(pages, op7_url_filter.weak_labels(pages)), "pages"),
     "op8_decontaminate": _over(op8_decontaminate.leaks, "documents", "benchmark"),
     "op9_chat": _over(op9_chat.perspectives, "conversations"),
     "op10_exact_dedup": _over(op10_exact_dedup.exact_duplicates, "documents"),
