@@ -15,18 +15,22 @@ agrees with an anchor gives the place of an item-sized window, which Sellers' al
 any of an item's anchors suffice, which carries recall: an anchor agrees with the probability that no sampled step is
 out of line, and the more words an item has, the more anchors.
 
+The number of repetitions follows from ``RECALL``: for each length of an item, random items are edited as often as they
+may be, at random places, and as many repetitions are needed as find that share of them (``repetitions``). All items of
+an index get as many as the neediest.
+
 Items of fewer than ``SHORT`` words have too few anchors for that. They are cut into one more run of words than there may
 be edits, so that one of these runs occurs word for word wherever the item does: they are all found.
 
-The index of the items is broadcast in parts of at most ``PART`` anchors, one pass over the documents for each part, so
-that memory stays bounded for a benchmark of any size.
+The index of the items is built and broadcast in parts of at most ``PART`` anchors, one after another, each with a pass
+over the documents of its own after which it is freed, so that memory stays bounded for a benchmark of any size.
 
 Defined results:
 
 - NULL or empty text, text without words: contaminated by nothing. NULL doc_id: checked like any other.
 - An item without words, or with NULL text or item_id, contaminates nothing; an item of fewer than five words must
   occur word for word.
-- Case and punctuation don't count. Very long texts are searched whole.
+- Case and punctuation don't count, in any script; in scripts without spaces each character is a word. Very long texts are searched whole.
 - Several occurrences: the one with the least edits, then the earliest. Repeated rows give repeated results; repeated
   items are one item for each item_id.
 - Empty tables give an empty result. Extra columns, whatever their names, pass ``drop_contaminated`` untouched.
@@ -34,18 +38,27 @@ Defined results:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, fresh, sized
 from .textops import mix, word_chunks, words
 
 MAX_EDITS = 0.2
-#: Steps of a walk, sampled steps, repetitions; for items of at least SHORT words.
-STEPS, SAMPLED, REPEATS = 16, 7, 6
+#: Steps of a walk, sampled steps; for items of at least SHORT words.
+STEPS, SAMPLED = 16, 7
+#: Share of the items, edited as often as they may be, that the walks are to find; trials by which it is measured.
+RECALL, TRIALS = 0.99, 1200
+#: Words of the longest items that are tried.
+MODEL = 64
 #: Shorter items are searched by runs of words.
-SHORT = 15
+SHORT = 18
 #: Anchors in one broadcast index.
 PART = 2_000_000
 #: Candidate windows verified at once.
@@ -106,6 +119,41 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     return (sig >> np.uint64(32)).astype(np.uint32)
 
 
+def _seed(repetition: int, steps: int = STEPS) -> int:
+    return 1000 * (steps // 2) + repetition
+
+
+def _inside(size: int, steps: int = STEPS) -> int:
+    """Anchors of an item: a walk that may run past the item depends on what follows it in a document."""
+    return max(1, size - steps // 2 + 1)
+
+
+@cache
+def repetitions(size: int, edits: int, recall: float = RECALL, steps: int = STEPS, sampled: int = SAMPLED) -> int:
+    """Repetitions that find the share ``recall`` of items of so many words with so many edits, be they words inserted,
+    replaced, left out or a mixture: the least of these four shares counts."""
+    rng = np.random.default_rng(size)
+    items = rng.integers(1, 1 << 63, (TRIALS, size)).astype(np.uint64)
+    edited = []
+    for t, item in enumerate(items.tolist()):
+        # places are those of distinct words, the last ones first
+        for at in sorted(rng.choice(size, edits, replace=False).tolist(), reverse=True):
+            kind = t % 4 if t % 4 < 3 else rng.integers(3)
+            item[at : at + (kind > 0)] = [] if kind == 2 else [int(rng.integers(1, 1 << 63))]
+        edited.append(item)
+    h = np.array(list(chain(*edited)), np.uint64)
+    n = np.array([len(x) for x in edited])
+    trial, end = np.repeat(np.arange(TRIALS), n), np.repeat(np.cumsum(n), n)
+    missed = np.ones(TRIALS, bool)
+    for r in range(64):
+        anchors = walk(items.reshape(-1), np.repeat(np.arange(1, TRIALS + 1) * size, size), steps, sampled, _seed(r, steps)).reshape(TRIALS, size)[:, : _inside(size, steps)]
+        there = np.isin(anchors.astype(np.uint64) | (np.arange(TRIALS, dtype=np.uint64) << np.uint64(32))[:, None], walk(h, end, steps, sampled, _seed(r, steps)).astype(np.uint64) | trial.astype(np.uint64) << np.uint64(32))
+        missed &= ~there.any(1)
+        if missed.reshape(-1, 4).mean(0).max() <= 1 - recall:
+            break
+    return r + 1
+
+
 def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sellers' algorithm on many windows (windows x width) at once: the least number of edits between the item and a
     run of a window, and where the first such run ends. A zero in a window is no word."""
@@ -128,7 +176,7 @@ def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.nda
 class Index:
     """Anchors of benchmark items by signature."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, steps: int = STEPS, sampled: int = SAMPLED, repeats: int = REPEATS, short: int = SHORT):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS, steps: int = STEPS, sampled: int = SAMPLED, recall: float = RECALL, short: int = SHORT):
         self.ids, self.words, self.edits = [], [], []
         for k, text in items:
             b = np.frombuffer(text.encode(), np.uint8)
@@ -142,17 +190,18 @@ class Index:
         self.families = []
         self.n = 0
         found: dict[tuple[int, int, int], list[tuple[np.ndarray, int, np.ndarray]]] = {}
+        # the longer an item, the more easily it is found
+        kinds = sorted({min(len(h), MODEL) for h in self.words if len(h) >= short})[:8]
+        repeats = max((repetitions(n, int(max_edits * n), recall, steps, sampled) for n in kinds), default=0)
         for k, h in enumerate(self.words):
             if len(h) < short:
                 cuts = np.arange(self.edits[k] + 2) * len(h) // (self.edits[k] + 1)
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     found.setdefault((int(y - x), 0, 0), []).append((runs(h[x:y], int(y - x))[:1], k, np.array([x])))
                 continue
-            # a walk that may run past the item depends on what follows it in a document
-            inside = max(1, len(h) - steps // 2 + 1)
             for r in range(repeats):
-                seed = 1000 * (steps // 2) + r
-                found.setdefault((steps, sampled, seed), []).append((walk(h, np.full(len(h), len(h)), steps, sampled, seed)[:inside], k, np.arange(inside)))
+                sig = walk(h, np.full(len(h), len(h)), steps, sampled, _seed(r, steps))[: _inside(len(h), steps)]
+                found.setdefault((steps, sampled, _seed(r, steps)), []).append((sig, k, np.arange(len(sig))))
         for family, rows in sorted(found.items()):
             sig, item, anchor = np.concatenate([x[0] for x in rows]), np.concatenate([np.full(len(x[0]), x[1]) for x in rows]), np.concatenate([x[2] for x in rows])
             o = np.argsort(sig, kind="stable")
@@ -237,47 +286,65 @@ class Index:
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.StructArray.from_arrays(cols, names=["item_id", "edits", "word_end"]))
 
 
-def _parts(benchmark: DataFrame, max_edits: float, part: int) -> list[Index]:
-    """Indices of at most ``part`` anchors or a single item, over all items. The benchmark is read row by row."""
-    out, held, n = [], [], 0
+def _parts(benchmark: DataFrame, max_edits: float, part: int) -> Iterator[Index]:
+    """Indices of some ``part`` anchors or a single item, over all items, one at a time. The benchmark is read row by row."""
+    held, n = [], 0
     rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id")
     for r in rows.toLocalIterator():
-        size = (r["text"].count(" ") + 1) * REPEATS
+        size = len(r["text"].split()) * repetitions(SHORT, int(max_edits * SHORT))
         if held and n + size > part:
-            out.append(Index(held, max_edits))
+            yield Index(held, max_edits)
             held, n = [], 0
         held.append((r["item_id"], r["text"]))
         n += size
-    return [*out, Index(held, max_edits)] if held else out
+    if held:
+        yield Index(held, max_edits)
 
 
-def _matcher(spark, index: Index):
-    shared = spark.sparkContext.broadcast(index)
-
+def _matcher(shared):
     def run(texts: pa.Array) -> pa.Array:
         return shared.value.matches(texts)
 
     return F.arrow_udf(run, "array<struct<item_id: bigint, edits: bigint, word_end: bigint>>")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, part: int = PART) -> DataFrame:
-    """doc_id, item_id, edits, word_end (words of the document up to the end of the passage), a row for each document
-    and each item that it holds."""
-    out = docs.select("doc_id").limit(0).selectExpr("doc_id", "0L AS item_id", "0L AS edits", "0L AS word_end")
-    for index in _parts(benchmark, max_edits, part):
-        found = docs.select("doc_id", F.explode(_matcher(docs.sparkSession, index)("text")).alias("m")).select("doc_id", "m.item_id", "m.edits", "m.word_end")
-        out = out.unionByName(found)
+def _passes(docs: DataFrame, parts: Iterator[Index], search) -> DataFrame | None:
+    """search(docs, matcher of texts) for each part of the benchmark. Where there are several, each result is written
+    and its index freed before the next is built."""
+    spark = docs.sparkSession
+    first = next(parts, None)
+    if first is None:
+        return None
+    second = next(parts, None)
+    if second is None:
+        return search(docs, _matcher(spark.sparkContext.broadcast(first)))
+    scratch, out = Scratch(spark, "leaks"), None
+    for index in chain([first, second], parts):
+        shared = spark.sparkContext.broadcast(index)
+        found = scratch.keep(search(docs, _matcher(shared)))
+        out = found if out is None else out.unionByName(found)
+        shared.destroy()
     return out
 
 
-def clean(text: Column, spark, benchmark: DataFrame, max_edits: float = MAX_EDITS, part: int = PART) -> Column:
-    """Whether a text holds no item."""
-    ok = F.lit(True)
-    for index in _parts(benchmark, max_edits, part):
-        ok = ok & (F.size(_matcher(spark, index)(text)) == 0)
-    return ok
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """docs without those that hold an item; all columns."""
-    return docs.filter(clean(docs["text"], docs.sparkSession, benchmark, max_edits))
+def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, part: int = PART) -> DataFrame:
+    """doc_id, item_id, edits, word_end (words of the document up to the end of the passage), a row for each document
+    and each item that it holds."""
+    search = lambda d, match: d.select("doc_id", F.explode(match("text")).alias("m")).select("doc_id", "m.item_id", "m.edits", "m.word_end")
+    found = _passes(docs.select("doc_id", "text"), _parts(benchmark, max_edits, part), search)
+    return found if found is not None else docs.select("doc_id").limit(0).selectExpr("doc_id", "0L AS item_id", "0L AS edits", "0L AS word_end")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, part: int = PART) -> DataFrame:
+    """docs without those that hold an item; all columns. Where the benchmark has several parts, contaminated texts are
+    told by 64 bits of a hash."""
+    parts = _parts(benchmark, max_edits, part)
+    few = [x for _, x in zip(range(2), parts)]
+    if len(few) < 2:
+        for index in few:
+            docs = docs.filter(F.size(_matcher(docs.sparkSession.sparkContext.broadcast(index))(docs["text"])) == 0)
+        return docs
+    (h,) = fresh(docs.columns, "leak_hash")
+    gone = _passes(docs.select("text"), chain(few, parts), lambda d, match: d.filter(F.size(match("text")) > 0).select(F.xxhash64("text").alias(h)).distinct())
+    gone = sized(Scratch(docs.sparkSession, "leaks").keep(gone.distinct()))
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone[h], "left_anti")

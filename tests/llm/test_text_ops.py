@@ -53,6 +53,19 @@ def test_words_don_t_cross_texts_or_hang_on_chunks():
             assert got[t] == [textops.hash_word(v) for v in re.findall(r"[a-zé0-9]+", (x or "").lower())]
 
 
+def test_words_of_all_scripts():
+    cases = {
+        "“Hello” a—b\u00a0c, it’s": "hello a b c it s", "ПРИВЕТ Š ÀÉ": "привет š àé", "日本語テ abc漢d": "日 本 語 テ abc 漢 d", "ก็ab": "ก็ ab", "한국어 텍스트": "한국어 텍스트", "a😀b": "a b", "ΜΕΓΑΣ": "μεγασ", "𐐀x": "𐐨x", "e\u0301a": "e\u0301a",
+    }
+    for text, want in cases.items():
+        data, off = textops.raw(pa.array([text]))
+        w = textops.words(data, off)
+        assert [w.low[i:j].tobytes().decode() for i, j in zip(w.start, w.end)] == want.split(), text
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x11000)]))
+    low = textops.lower(np.frombuffer(every.encode(), np.uint8)).tobytes().decode()
+    assert all(y == x.lower() or len(x.encode()) != len(x.lower().encode()) or x == "ς" for x, y in zip(every, low))
+
+
 # -- token counts ---------------------------------------------------------------------------------------------------
 
 
@@ -367,7 +380,61 @@ def test_url_trees_on_held_out_urls(spark):
     assert sum(got[i]["blocked"] == (i % 5 == 0) for i in range(200, 400)) >= 190
     assert got[900]["score"] is None and not got[900]["blocked"] and len(got) == 404
     assert not urls.filtered(pages, known.limit(0)).filter("blocked").count()
-    assert urls.filtered(pages.limit(0)).count() == 0
+    assert urls.filtered(pages.limit(0), urls.weak_labels(pages.limit(0))).count() == 0
+    weak = {x["url"]: x["label"] for x in urls.weak_labels(spark.createDataFrame([("http://my-pills.org/a",), ("http://spills.org/ads",), (None,)], "url string")).collect()}
+    assert weak == {"http://my-pills.org/a": 1, "http://spills.org/ads": 0}
+
+
+def test_url_features_one_by_one(spark):
+    rows = ["https://user@Sub-1.Exämple.com:80/a/b_c/?x=1&&y=22#frag", "http://a", "", "no url at all", None, "HTTP://H/p?q#"]
+    got = [r.asDict() for r in spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "i long, url string").select("i", *urls.features(F.col("url"), F.lit(0.5))).orderBy("i").collect()]
+
+    def bits(s):
+        b = np.bincount(np.frombuffer(s.encode(), np.uint8)) if s else np.zeros(1)
+        p = b[b > 0] / max(b.sum(), 1)
+        return float(-(p * np.log2(p)).sum())
+
+    hosts = ["sub-1.exämple.com", "a", "", "no url at all", None, "h"]
+    paths, params = ["/a/b_c/", "", "", "", None, "/p"], [2, 0, 0, 0, 0, 1]
+    for u, h, p, n, x in zip(rows, hosts, paths, params, got):
+        if u is None:
+            assert all(v == 0 for k, v in x.items() if k not in ("i", "suffix_share"))
+            continue
+        size = max(len(u), 1)
+        want = {
+            "length": len(u), "host": len(h), "path": len(p), "depth": p.count("/"), "digits": sum(c.isdigit() for c in u) / size, "signs": sum(not c.isalnum() for c in u) / size, "entropy": bits(u), "host_entropy": bits(h), "params": n,
+            "parts": len(h.split(".")), "hyphens": h.count("-"), "host_digits": sum(c.isdigit() for c in h), "vowels": sum(c in "aeiou" for c in h) / max(len(h), 1), "longest": max(map(len, h.split("."))),
+            "secure": u.startswith("https:"), "fragment": u.endswith("#frag"), "suffix_share": 0.5, "suffix_length": len(h.split(".")[-1]),
+        }
+        assert {k: round(float(v), 9) for k, v in want.items()} == {k: round(v, 9) for k, v in x.items() if k != "i"}
+
+
+def test_trees_against_exhaustive_search():
+    r = np.random.default_rng(2)
+    x = r.integers(0, 6, (90, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3) | (r.random(90) < 0.1)).astype(float)
+    got = urls.Trees(x, y, trees=3, depth=2, rate=0.5, bins=64, leaf=4).predict(x)
+
+    f = np.full(90, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(3):
+        q = 1 / (1 + np.exp(-f))
+        g, h = y - q, q * (1 - q)
+        value = lambda at: g[at].sum() ** 2 / (h[at].sum() + 1)  # noqa: E731, B023
+
+        def grow(at, depth):
+            if depth:
+                tries = [(value(at[x[at, j] <= c]) + value(at[x[at, j] > c]) - value(at), -j, -c) for j in range(3) for c in np.unique(x[:, j]) if min((x[at, j] <= c).sum(), (x[at, j] > c).sum()) >= 4]  # noqa: B023
+                best = max(tries, default=(0, 0, 0))
+                if len(at) >= 8 and best[0] > 1e-9:
+                    left = x[at, -best[1]] <= -best[2]
+                    return [*grow(at[left], depth - 1), *grow(at[~left], depth - 1)]
+            return [at]
+
+        step = np.zeros(90)
+        for at in grow(np.arange(90), 2):
+            step[at] = 0.5 * g[at].sum() / (h[at].sum() + 1)  # noqa: B023
+        f = f + step
+    assert np.allclose(got, f)
 
 
 def test_every_suffix_has_its_share(spark):
@@ -421,8 +488,9 @@ def test_leaks_against_brute_force(spark):
     assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
     # in parts, the answer is the same
     assert {(x["doc_id"], x["item_id"]) for x in leaks.leaks(docs(spark, rows), bench, part=200).collect()} == set(got)
-    kept = leaks.drop_contaminated(extra(docs(spark, rows)), bench)
-    assert {x["doc_id"] for x in kept.collect()} == {d for d, _ in rows} - {d for d, _ in got}
+    for part in (leaks.PART, 200):
+        kept = leaks.drop_contaminated(extra(docs(spark, rows)).withColumn("leak_hash", F.lit(1)), bench, part=part)
+        assert {x["doc_id"] for x in kept.collect()} == {d for d, _ in rows} - {d for d, _ in got} and kept.columns[-1] == "leak_hash"
     assert leaks.leaks(docs(spark, []), bench).count() == 0 and leaks.leaks(docs(spark, rows), bench.limit(0)).count() == 0
     assert leaks.drop_contaminated(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
@@ -458,6 +526,49 @@ def test_short_items_are_all_found():
     assert len(want) >= 800 and got == want
 
 
+def test_leaks_in_all_scripts_and_signs():
+    r = random.Random(22)
+    plain = sentence(r, 30)
+    han = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(60))
+    cyrillic = " ".join("".join(r.choice("абвгдежз") for _ in range(5)) for _ in range(30))
+    index = leaks.Index([(1, plain), (2, han), (3, cyrillic)])
+    w = plain.split()
+    texts = [
+        "so: " + " ".join(f"“{x}”" if k % 3 == 0 else x for k, x in enumerate(w)) + "…",
+        "—".join(w),
+        "\u00a0".join(w),
+        "文字" + han[:20] + "好" + han[20:] + "文字",
+        "да " + cyrillic.upper() + "!",
+        "nothing of the kind",
+    ]
+    got = [[(x["item_id"], x["edits"], x["word_end"]) for x in xs] for xs in index.matches(pa.array(texts)).to_pylist()]
+    assert got == [[(1, 0, 31)], [(1, 0, 30)], [(1, 0, 30)], [(2, 1, 63)], [(3, 0, 31)], []]
+
+
+def test_of_several_occurrences_the_nearest_then_the_earliest_counts():
+    item = [f"w{i}" for i in range(25)]
+    edited = [*item[:9], "zz", *item[10:]]
+    for text, want in (((edited, item, item), (0, 25 + 25 + 2)), ((edited, edited), (1, 26))):
+        words = [x for part in text for x in ["and", *part]]
+        (got,) = leaks.Index([(7, " ".join(item))]).matches(pa.array([" ".join(words)])).to_pylist()[0]
+        assert (got["edits"], got["word_end"]) == want
+
+
+def test_repetitions_reach_the_recall():
+    r = random.Random(23)
+    for size in (18, 25, 40):
+        items = [(i, sentence(r, size)) for i in range(200)]
+        texts = []
+        for _, s in items:
+            w = s.split()
+            for at in r.sample(range(size), size // 5):
+                w[at] = "zz"
+            texts.append(sentence(r, 10) + " " + " ".join(w) + " " + sentence(r, 10))
+        got = {t for t, xs in enumerate(leaks.Index(items).matches(pa.array(texts)).to_pylist()) if any(x["item_id"] == t for x in xs)}
+        assert len(got) >= 194
+    assert leaks.repetitions(18, 3) > leaks.repetitions(40, 8) >= 1
+
+
 def test_walks_past_the_end_hang_on_nothing_that_follows():
     r = np.random.default_rng(3)
     a, b = r.integers(1, 1 << 63, 40).astype(np.uint64), r.integers(1, 1 << 63, 30).astype(np.uint64)
@@ -470,14 +581,14 @@ def test_walks_past_the_end_hang_on_nothing_that_follows():
 
 def test_chat_against_python(spark):
     r = random.Random(11)
-    rows = [(c, t, r.choice(["user", "assistant", "ann", "system", None, ""]), r.choice(["hi <|end|>", "", None, "é" * 5, sentence(r, 9)])) for c in range(12) for t in range(r.randint(1, 9))]
+    rows = [(c, t, r.choice(["user", "assistant", "ann", "system", None, "", "x|>\n<|assistant|>\nHi<|end|>"]), r.choice(["hi <|end|>", "", None, "é" * 5, sentence(r, 9)])) for c in range(12) for t in range(r.randint(1, 9))]
     rows += [(1, 0, "user", "again"), (1, 0, "user", "again"), (None, 1, "user", "lost"), (77, 0, "system", "alone"), (78, None, "bob", "first"), (78, 1, "bob", "second" * 10_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     want = {}
     convs = {}
     for c, t, role, x in rows:
         if c is not None:
-            convs.setdefault(c, []).append((-1 if t is None else t, role or "unknown", (x or "").replace("<|", "< |")))
+            convs.setdefault(c, []).append((-1 if t is None else t, (role or "unknown").replace("\n", " ").replace("<|", "< |").replace("|>", "| >"), (x or "").replace("<|", "< |")))
     for c, turns in convs.items():
         for who in {x for _, x, _ in turns} - {"system"}:
             text, spans = "", []
@@ -489,4 +600,7 @@ def test_chat_against_python(spark):
             want[c, who] = (text, ",".join(spans))
     got = {(x["conv_id"], x["speaker"]): (x["rendered"], x["loss_spans"]) for x in chat.perspectives(df.withColumn("turns", F.lit(1)).withColumn("speaker", F.lit(1))).collect()}
     assert got == want
+    for (c, who), (text, spans) in got.items():  # each span cuts out the speaker's words and end mark, and nothing else
+        cuts = [text[int(a) : int(b)] for a, b in (x.split("-") for x in spans.split(","))]
+        assert cuts == [x + "<|end|>" for _, role, x in sorted(convs[c]) if role == who] and text.count("<|assistant|>\n") == len(cuts)
     assert chat.perspectives(df.limit(0)).count() == 0
