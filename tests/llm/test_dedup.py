@@ -14,6 +14,9 @@ from stratavox.llm import op10_exact_dedup as exact
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+#: Names that the operators use or used themselves.
+CLASHING = ["comp", "bands", "__n", "__drop", "__only", "__id", "h", "gone_id", "COPY_ID", "copy_hash", "row", "k0", "n", "key", "kept", "links", "rid", "digest", "a.b"]
+
 
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
@@ -45,8 +48,8 @@ def test_exact_against_brute_force(spark, heavy, counters):
     got = exact.exact_duplicates(docs(spark, rows), heavy, counters).collect()
     assert len(got) == len(rows)
     assert {(x["doc_id"], x["keeper_id"]) for x in got} == {(i, i if t is None or i is None else first[t]) for i, t in rows}
-    kept = exact.drop_copies(docs(spark, rows).withColumn("__id", F.lit(1)).withColumn("h", F.lit(2)), heavy, counters)
-    assert kept.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "__id", "h"]
+    kept = exact.drop_copies(docs(spark, rows).withColumns({c: F.lit(1) for c in CLASHING}), heavy, counters)
+    assert kept.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *CLASHING]
     assert sorted((x["doc_id"] for x in kept.collect()), key=str) == sorted([*first.values(), 900, 901, None], key=str)
 
 
@@ -101,8 +104,8 @@ def test_near_drops_all_but_one(spark):
     rows = corpus(6)
     df = docs(spark, rows)
     group = {x["doc_id"]: x["group_id"] for x in near.near_duplicates(df).collect()}
-    out = near.drop_near_copies(df.withColumn("comp", F.lit("c")).withColumn("bands", F.lit(0)))
-    assert out.columns[-2:] == ["comp", "bands"]
+    out = near.drop_near_copies(df.withColumns({c: F.lit(0) for c in CLASHING}))
+    assert out.columns == [*df.columns, *CLASHING]
     assert sorted(x["doc_id"] for x in out.collect()) == sorted({*group.values()})
 
 
@@ -121,7 +124,7 @@ def test_estimates_are_close():
     base = [sentence(r, 1) + str(i) for i in range(800)]
     for keep in (0.3, 0.6, 0.9):
         other = [w if i < keep * 800 else w + "q" for i, w in enumerate(base)]
-        regs, some = near.sketches(pa.array([" ".join(base), " ".join(other)]))
+        regs, some, _ = near.sketches(pa.array([" ".join(base), " ".join(other)]))
         a, b = shingles(" ".join(base)), shingles(" ".join(other))
         assert some.all() and abs(near.estimate(regs[:1], regs[1:])[0] - len(a & b) / len(a | b)) < 0.13
 
@@ -129,8 +132,9 @@ def test_estimates_are_close():
 def test_sketches_merge():
     r = random.Random(4)
     a, b = sentence(r, 50), sentence(r, 60)
-    x, _ = near.sketches(pa.array([a, b]))
+    x, _, _ = near.sketches(pa.array([a, b]))
     s = np.concatenate([s for _, s, _ in near.shingles(pa.array([a]))] + [s for _, s, _ in near.shingles(pa.array([b]))])
+    s = (s >> np.uint64(32)).astype(np.uint32)
     union = near.registers(np.array([(s * k + c).min() for k, c in zip(near._A, near._C)], np.uint32))
     assert (np.maximum(x[0], x[1]) == union).all()
 
@@ -143,8 +147,53 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_cross_pairs_are_complete():
-    members = [{"comp": c, "doc_id": i} for i, c in enumerate([3, 1, 1, 2, 3])]
-    kind = pa.list_(pa.struct([("comp", pa.int64()), ("doc_id", pa.int64())]))
-    got = [(x, y) for b in near._cross(iter([pa.RecordBatch.from_arrays([pa.array([members, []], kind)], names=["members"])])) for x, y in zip(*(c.to_pylist() for c in b.columns))]
-    assert sorted(got) == [(a, b) for a in range(5) for b in range(a + 1, 5) if members[a]["comp"] != members[b]["comp"]]
+def test_repeated_rows_with_clashing_columns(spark):
+    r = random.Random(1)
+    a, b = sentence(r, 30), sentence(r, 30)
+    df = docs(spark, [(1, a), (1, a), (2, b), (3, a), (2, b)]).withColumns({c: F.when(F.rand(1) < 2, F.monotonically_increasing_id()) for c in CLASHING})
+    df = spark.createDataFrame(df.collect(), df.schema)
+    for drop in (near.drop_near_copies, exact.drop_copies):
+        got = drop(df).collect()
+        assert sorted(x["doc_id"] for x in got) == [1, 2] and got[0].asDict().keys() == set(df.columns)
+        # the first in the order of all columns
+        assert {x["doc_id"]: x["comp"] for x in got} == {i: min((str(x["comp"]) for x in df.collect() if x["doc_id"] == i)) and min((x["comp"] for x in df.collect() if x["doc_id"] == i), key=str) for i in (1, 2)}
+        assert drop(spark.createDataFrame([], df.schema)).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_untried_pairs_are_complete(spark, block):
+    from stratavox.llm.common import Scratch
+
+    r = np.random.default_rng(4)
+    ids, comp = np.arange(60), np.where(np.arange(60) < 35, 0, np.arange(60) % 9 * 4 + 36)
+    regs = r.integers(0, 2, (60, near.M)).astype(np.uint16)
+    regs[::5] = regs[0]
+    regs[0, :20] = 900
+    key = r.integers(0, 4, 60)
+    sketch = spark.createDataFrame([(int(i), bytearray(x.tobytes())) for i, x in zip(ids, regs)], "doc_id long, regs binary")
+    shared = spark.createDataFrame([(int(k), int(i)) for k, i in zip(key, ids)], "key long, doc_id long")
+    named = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, comp)], "doc_id long, comp long")
+    got = sorted(tuple(x) for x in near.untried(shared, named, sketch, 0.6, Scratch(spark, "t"), block).collect())
+    least = int(near.M * near._least(0.6))
+    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if key[a] == key[b] and comp[a] != comp[b] and (regs[a] % 256 == regs[b] % 256).sum() >= least]
+    assert got == want and len(want) > 20
+
+
+def test_a_large_bucket_of_strangers_costs_no_pairs():
+    n = 50_000  # one component, and two strangers of which one is alike
+    comp = np.append(np.zeros(n, np.int64), [7, 8])
+    sig = np.zeros((n + 2, near.M), np.uint8)
+    sig[-1] = 9
+    doc = np.arange(n + 2)
+    pairs = [p for x, y in near.compared(np.zeros(n + 2, int), comp, (comp == 0).astype(np.int64), doc, sig, 80) for p in zip(x.tolist(), y.tolist())]
+    assert len(pairs) == n and {y for _, y in pairs} == {n}
+
+
+def test_links_and_scripts(spark):
+    r = random.Random(3)
+    base = sentence(r, 40)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
+    rows = [(1, base), (2, base.upper()), (3, base + " xx"), (4, sentence(r, 40)), (5, han), (6, han[:30] + "好" + han[30:]), (7, "“" + base.replace(" ", "—") + "”"), (8, "Привет ΜΕΓΑΣ мир"), (9, "ПРИВЕТ μεγασ МИР")]
+    got = {x["doc_id"]: (x["group_id"], x["links"]) for x in near.near_duplicates(docs(spark, rows)).collect()}
+    assert {i: g for i, (g, _) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 1, 8: 8, 9: 8}
+    assert {i: n for i, (_, n) in got.items()} == {1: 3, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1}
