@@ -54,7 +54,7 @@ MAX_EDITS = 0.2
 #: Steps of a walk, sampled steps; for items of at least SHORT words.
 STEPS, SAMPLED = 16, 7
 #: Share of the items, edited as often as they may be, that the walks are to find; trials by which it is measured.
-RECALL, TRIALS = 0.99, 1200
+RECALL, TRIALS = 0.998, 2000
 #: Words of the longest items that are tried.
 MODEL = 64
 #: Shorter items are searched by runs of words.
