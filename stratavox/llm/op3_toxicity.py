@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, least_hash
-from .textops import Filter, Words, chunks, lower, raw, word_chunks, words
+from .textops import Filter, Words, chunks, lower, of_texts, raw, word_chunks, words
 
 #: Labelled documents that the scoring rule is fitted on, at most.
 LABELLED = 20_000
@@ -244,10 +244,10 @@ def _examples(batches: Iterator[pd.DataFrame], keep: np.ndarray | None) -> Itera
                     hit = only.find(h)
                     yield pd.DataFrame({"feature": h[hit].view(np.int64), "toxic": toxic[a + text[at[hit]]].astype(np.int64), "n": around[at[hit]].view(np.int64)})
                     continue
-                once = np.unique(np.stack([text[at].astype(np.uint64), h]), axis=1)
-                label = toxic[a + once[0].astype(np.int64)]
+                once = np.unique(of_texts(text[at], h), return_index=True)[1]
+                label = toxic[a + text[at[once]]]
                 for y in (0, 1):
-                    count[y].update(once[1][label == y].tolist())
+                    count[y].update(h[once][label == y].tolist())
     if only is None:
         for y in (0, 1):
             keys = np.fromiter(count[y].keys(), np.uint64, len(count[y]))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textops import chunks, raw, sums, words
+from .textops import chunks, of_texts, raw, sums, words
 
 #: Weight of the pooled covariance, and of the identity.
 POOLED, IDENTITY = 0.1, 0.01
@@ -48,7 +48,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         n = sums(lead, cut)
         size = np.diff(w.first)
         text = np.repeat(np.arange(b - a), size)
-        once = np.unique(np.stack([text.astype(np.uint64), w.hash]), axis=1)[0].astype(np.int64) if len(w.hash) else np.zeros(0, np.int64)
+        once = text[np.unique(of_texts(text, w.hash), return_index=True)[1]]
         again = np.zeros(len(w.hash))
         again[1:] = (w.hash[1:] == w.hash[:-1]) & (text[1:] == text[:-1])
         share = lambda x, y: np.arcsin(np.sqrt(np.clip(x / np.maximum(y, 1), 0, 1)))

@@ -178,6 +178,11 @@ def hash_word(word: str) -> int:
     return int(words(b, np.array([0, len(b)])).hash[0])
 
 
+def of_texts(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64-bit keys of hashes within their texts."""
+    return mix(h ^ mix(text.astype(np.uint64) + np.uint64(1)))
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums over values[first[i]:first[i + 1]], 0 for empty ranges."""
     total = np.concatenate([[0], np.cumsum(values)])

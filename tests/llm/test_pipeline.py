@@ -97,4 +97,22 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for rows in (docs[:20], []):
         df = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, df, str(tmp_path)).columns == df.columns
+            got = stage(spark, df, str(tmp_path))
+            assert got.columns == df.columns and (got.count() > 0) == bool(rows)
+
+
+def test_odd_rows_through_the_whole_pipeline(spark, tmp_path):
+    _, labels, items = corpus()
+    r = random.Random(2)
+    a, b, c = (sentence(r, 40) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (None, a), (None, None), (4, None), (5, ""), (6, "!!!"), (7, sentence(r, 4) * 3000), (8, items[0][1]), (None, items[0][1])]
+    spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, __n int, gone_id int, leak_hash int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(x["doc_id"]) for x in got) == sorted(["1", "3", "None", "None", "4", "5", "6", "7"])
+    assert all(x["round_trip"] in (True, None) for x in got)
+    # nothing to work on, no labels, no benchmark
+    for n in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{n}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -180,6 +180,42 @@ def test_all_signs_and_doubled_letters_pass_the_gate(spark):
     assert all(out[k] for k in tests) and sum(out[i] != bool(y) for i, y in labels) <= 2
 
 
+def test_score_against_brute_force(spark):
+    rows, labels = toxic_corpus()
+    got = {x["doc_id"]: x["score"] for x in toxic.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    words = {i: t.split() for i, t in rows}
+    known = dict(labels)
+    n = {y: sum(v == y for v in known.values()) for y in (0, 1)}
+
+    def features(w):
+        return {("w", w)} | {(k, w[:k]) for k in toxic.STEMS if len(w) > k}
+
+    seen, contexts = {}, {}
+    for i, ws in words.items():
+        for f in set().union(*map(features, ws)):
+            seen.setdefault(f, [0, 0])[known[i]] += 1
+        for k, w in enumerate(ws):
+            for f in features(w):
+                contexts.setdefault(f, set()).add((known[i], ws[k - 1] if k else None, ws[k + 1] if k + 1 < len(ws) else None))
+
+    def llr(a, b):
+        q = (a + b) / (n[1] + n[0])
+        return 2 * sum(x * np.log(x / (m * q)) for x, m in ((a, n[1]), (b, n[0])) if x)
+
+    weight = {}
+    for f, (b, a) in seen.items():
+        if llr(a, b) >= toxic.LLR and a * n[0] > 3 * b * n[1]:
+            a, b = (sum(y == k for y, _, _ in contexts[f]) for k in (1, 0))
+            odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+            if llr(a, b) >= toxic.LLR and odds > np.log(8):
+                weight[f] = odds
+    assert weight
+    total = {i: sum(max((weight[f] for f in features(w) if f in weight), default=0) for w in set(ws)) for i, ws in words.items()}
+    coef = toxic._logistic(np.array([[total[i], np.log1p(len(ws))] for i, ws in words.items()]), np.array([known[i] for i in words], float))
+    want = {i: coef[0] + coef[1] * total[i] + coef[2] * np.log1p(len(ws)) for i, ws in words.items()}
+    assert all(np.isclose(got[i], want[i], rtol=1e-3, atol=1e-2) for i in words)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.ones(toxic.CLASSES), (toxic.CLASSES, toxic.CLASSES)))
@@ -230,6 +266,37 @@ def test_discriminant_against_densities(spark):
     assert np.allclose(sorted(got), sorted(dens(1, v) - dens(0, v) for v in at))
 
 
+def test_statistics_one_by_one():
+    texts = ["The cat, the CAT!\n12 é", "", None, "a a a b", "日本 “x”"]
+    got = quality.statistics(pa.array(texts))
+    for t, x in zip(texts, got):
+        t = t or ""
+        w = [v for v in re.findall(r"[^\W_]+", t.lower())] if "日" not in t else ["日", "本", "x"]
+        share = lambda a, b: np.arcsin(np.sqrt(min(a / max(b, 1), 1)))
+        n = len(t)
+        want = [np.log1p(n), np.log1p(len(w)), np.log1p(sum(len(v.encode()) for v in w) / max(len(w), 1)), share(len(set(w)), len(w))]
+        want += [share(sum(f(c) for c in t), n) for f in (lambda c: "A" <= c <= "Z", lambda c: c in "0123456789", lambda c: "!" <= c <= "~" and not c.isalnum(), lambda c: c <= " ", lambda c: c > "\x7f")]
+        want += [share(sum(p == q for p, q in zip(w, w[1:])), len(w))]
+        assert np.allclose(x, want), t
+
+
+def test_shrinkage_and_ties(spark):
+    r = np.random.default_rng(4)
+    p = len(quality.NAMES)
+    x = {k: r.normal(k, 1 + k, (60, p)) for k in (0, 1)}
+    m = quality.Discriminant({k: 60.0 for k in x}, {k: v.sum(0) for k, v in x.items()}, {k: v.T @ v for k, v in x.items()}, pooled=0.3, identity=0.2)
+    whole = sum((v - v.mean(0)).T @ (v - v.mean(0)) for v in x.values()) / 118
+    for k, v in x.items():
+        s = 0.7 * np.cov(v.T) + 0.3 * whole
+        s = 0.8 * s + 0.2 * np.trace(s) / p * np.eye(p)
+        assert np.allclose(np.linalg.inv(m.factor[k].T @ m.factor[k]), s)
+    # one and the same document as an example of both classes: score 0, and a tie is good
+    same = [(i, "a b c") for i in range(4)]
+    labels = spark.createDataFrame([(i, y) for i in range(4) for y in (0, 1)], "doc_id long, quality int")
+    got = quality.quality(docs(spark, same), labels).collect()
+    assert all(x["score"] == 0 and x["quality"] == 1 for x in got)
+
+
 # -- language model -------------------------------------------------------------------------------------------------
 
 
