@@ -1,4 +1,14 @@
-"""A corpus pipeline of the training-data operators, each stage on what its predecessor kept."""
+"""A corpus pipeline of the training-data operators, each stage on what its predecessor kept.
+
+Each stage does what its operator's docstring states. For the whole that means:
+
+- NULL text: toxic never, copy of nothing, contaminated by nothing; it stays, with NULL tokens. An empty text has no tokens.
+- NULL doc_id: an example never, copy of nothing; toxic and contaminated texts go all the same.
+- Rows with one doc_id: equal texts are one document after exact dedup, all the others after near dedup; of these rows
+  the first in the order of all columns stays. Otherwise the least doc_id of a group stays.
+- Very long texts are worked on whole. Extra columns, whatever their names, pass all stages but the last.
+- Empty documents give an empty result; empty labels or an empty benchmark let every document pass those stages.
+"""
 
 from __future__ import annotations
 
@@ -39,10 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written to the shared folder and read again."""
+    """The stages one after another over documents, each written to the shared folder and read again. What a stage and
+    its predecessor wrote is deleted once its result is there."""
     prepare(spark)
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        own = len(Scratch.made)
+        after = scratch.keep(stage(spark, docs, sf_dir))
+        Scratch.sweep(own)
+        if k:
+            scratch.drop(docs)
+        docs = after
     return docs
