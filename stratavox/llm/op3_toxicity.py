@@ -49,6 +49,8 @@ STEMS = (4, 5, 6)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
 #: Log probabilities of the channel: a sign read as itself, as a letter; a repeated letter kept whole.
 AS_SIGN, AS_LETTER, AS_IS = -6.0, -1.0, -2.0
+#: Readings that a worker keeps at a time, besides those of the chunk at hand.
+KEPT = 200_000
 #: Signs of trigrams: 64 classes of bytes.
 CLASSES = 64
 
@@ -68,6 +70,8 @@ _TRACE = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1")
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET if c.isascii()]] = True
 _WIDE = [c.encode() for c in LEET if not c.isascii()]
+_DOUBLE = re.compile(r"(.)\1", re.S)
+_BETWEEN = re.compile(rf"[^\w{_SIGNS}]+")
 _NOISE = re.compile(r"([^\w\s])\1{2,}$|[!.,;:?)\]}'\"|(]+$")
 
 
@@ -119,30 +123,50 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _steps(token: str) -> list[list[tuple[str, float]]]:
+    """The lattice, in which neighbours of a single reading are one step, and its end."""
+    out: list[list[tuple[str, float]]] = []
+    for options in [*lattice(token), [("\0", 0.0)]]:
+        if len(options) == 1 and out and len(out[-1]) == 1:
+            out[-1] = [(out[-1][0][0] + options[0][0], 0.0)]
+        else:
+            out.append(options)
+    return out
+
+
+_CLASSES_OF = [0, *_CLASS.tolist()[1:]]
+
+
 class Decoder:
     def __init__(self, logp: np.ndarray):
         self.rows = logp.tolist()
 
-    def _class(self, c: str) -> list[int]:
-        return [int(_CLASS[b]) for b in c.encode()]
-
     def decode(self, token: str) -> str:
         """The likeliest reading: Viterbi over the lattice; a state is the last two signs written."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in [*lattice(token), [("\0", 0.0)]]:
+        rows, states = self.rows, {(0, 0): (0.0, "")}
+        for options in _steps(token):
             new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                for emit, cost in options:
-                    s, x, y = score + cost, a, b
-                    for c in emit:
-                        for k in [0] if c == "\0" else self._class(c):
-                            s += self.rows[x][y][k]
-                            x, y = y, k
+            for emit, cost in options:
+                classes = [_CLASSES_OF[b] for b in emit.encode()]
+                for (x, y), (s, text) in states.items():
+                    s += cost
+                    for k in classes:
+                        s += rows[x][y][k]
+                        x, y = y, k
                     if (x, y) not in new or s > new[x, y][0]:
                         new[x, y] = (s, text + emit)
             states = new
         return max(states.values())[1].rstrip("\0")
 
+    def restore(self, token: str) -> str:
+        """The reading of a token with traces of the channel; noise around it doesn't count."""
+        core = _NOISE.sub("", token)
+        if not _TRACE.search(core):
+            return token
+        # letters of which none is doubled have a single reading
+        single = lambda x: x.isalpha() and not _DOUBLE.search(x)
+        return " ".join(x if single(x) else self.decode(x) for x in _BETWEEN.split(core) if x)
+
 
 def _signs(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last bytes of the channel's signs."""
@@ -171,19 +195,24 @@ def _flags(w: Words, data: np.ndarray) -> np.ndarray:
     return flag
 
 
-def noisy(data: np.ndarray, off: np.ndarray, w: Words) -> Iterator[tuple[int, str]]:
-    """(text, token in lower case) of all tokens with traces of the channel."""
+def noisy(data: np.ndarray, off: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first byte, end) of all tokens with traces of the channel."""
     if not len(data):
-        return
-    black = data > 32
-    starts = np.flatnonzero(np.diff(np.concatenate([[0], black.view(np.int8)])) == 1)
-    starts = np.union1d(starts, off[:-1][(off[:-1] < len(data))])
+        return (np.zeros(0, np.int64),) * 3
+    black = np.concatenate([[False], data > 32, [False]])
+    starts, ends = np.flatnonzero(black[1:] & ~black[:-1]), np.flatnonzero(black[:-1] & ~black[1:])
+    # a token ends with its text
+    at = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
+    at = np.unique(at[black[at] & black[at + 1]])
+    starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
     flagged = np.unique(np.searchsorted(starts, np.flatnonzero(_flags(w, data)), "right") - 1)
-    ends = np.append(starts[1:], len(data))
-    for k in flagged.tolist():
-        token = w.low[starts[k] : ends[k]].tobytes().decode("utf-8", "ignore").strip()
-        yield int(np.searchsorted(off, starts[k], "right")) - 1, token
-    # letters or signs spelled one by one: three characters in a row with one between them
+    start, end = starts[flagged], ends[flagged]
+    return np.searchsorted(off, start, "right") - 1, start, end
+
+
+def spelled(off: np.ndarray, w: Words) -> Iterator[tuple[int, str]]:
+    """(text, token in lower case) of all words spelled one letter or sign at a time."""
+    # three characters in a row with one between them
     lead = np.flatnonzero((w.low & 0xC0) != 0x80)
     low = w.low[lead]
     sign = _signs(w.low)[0][lead]
@@ -306,10 +335,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int, logp: np.ndarray, scratc
 # -- application ----------------------------------------------------------------------------------------------------
 
 
+#: Results of tokens without weights, by whether they read differently; shared by all of them.
+_PLAIN = ((False, None), (True, None))
+
+
 class Scorer:
     def __init__(self, rule: Rule, logp: np.ndarray):
         self.rule, self.decoder = rule, Decoder(logp)
-        self.seen: dict[str, tuple[str, dict[int, float]]] = {}
+        self.seen: dict[int | str, tuple[bool, dict[int, float] | None]] = {}
 
     def hits(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word, feature, weight) of the features found."""
@@ -318,27 +351,28 @@ class Scorer:
             if len(hit):
                 yield at[hit], h[hit], self.rule.values[np.searchsorted(self.rule.filter.keys, h[hit])]
 
-    def restored(self, token: str) -> tuple[str, dict[int, float]]:
-        """Reading of a noisy token, and the weights of its words."""
-        if token not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            core = _NOISE.sub("", token)
-            text = token
-            if _TRACE.search(core):
-                text = " ".join(self.decoder.decode(x) for x in re.split(rf"[^\w{_SIGNS}]+", core) if x)
-            b = np.frombuffer(text.encode(), np.uint8)
-            self.seen[token] = (text, self.weights(words(b, np.array([0, len(b)]))) if len(b) else {})
-        return self.seen[token]
-
-    def weights(self, w: Words) -> dict[int, float]:
-        """Weight of the strongest feature of each distinct word of a single text."""
-        best: dict[int, float] = {}
+    def weights(self, texts: list[str]) -> list[dict[int, float] | None]:
+        """Weights of the strongest features of the distinct words of each text; None where there are none."""
+        parts = [t.encode() for t in texts]
+        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        w = words(np.frombuffer(b"".join(parts), np.uint8), off)
+        best: list[dict[int, float] | None] = [None] * len(texts)
         for at, _, v in self.hits(w):
-            for k, x in zip(w.hash[at].tolist(), v.tolist()):
-                best[k] = max(x, best.get(k, 0.0))
+            for t, k, x in zip((np.searchsorted(w.first, at, "right") - 1).tolist(), w.hash[at].tolist(), v.tolist()):
+                mine = best[t] = best[t] or {}
+                mine[k] = max(x, mine.get(k, 0.0))
         return best
 
+    def restored(self, tokens: dict[int | str, str]) -> dict[int | str, tuple[bool, dict[int, float] | None]]:
+        """All readings kept, by key: whether a token reads differently, and the weights of its words; those of tokens
+        (key -> token) are among them."""
+        new = {k: t for k, t in tokens.items() if k not in self.seen}
+        if new:
+            read = [self.decoder.restore(t) for t in new.values()]
+            for key, x, t, weights in zip(new, read, new.values(), self.weights(read)):
+                self.seen[key] = _PLAIN[x != t] if weights is None else (x != t, weights)
+        return self.seen
+
     def evidence(self, texts: pa.Array) -> pa.Array:
         """{weight, words, restored}: summed weights of the distinct words of a text after restoration, log of the
         number of words, tokens that were decoded to something else."""
@@ -355,10 +389,24 @@ class Scorer:
             for at, _, v in self.hits(w):
                 for t, k, x in zip((np.searchsorted(w.first, at, "right") - 1).tolist(), w.hash[at].tolist(), v.tolist()):
                     found[t, k] = max(x, found.get((t, k), 0.0))
-            for t, token in noisy(part, cut, w):
-                text, weights = self.restored(token)
-                changed[a + t] += text != token
-                for k, x in weights.items():
+            where, start, end = noisy(part, cut, w)
+            keys, first, which = np.unique(w.part(start, end), return_index=True, return_inverse=True)
+            text = lambda i: w.low[start[i] : end[i]].tobytes().decode("utf-8", "ignore").strip()
+            keys = keys.tolist()
+            apart = list(spelled(cut, w))
+            tokens = {k: text(i) for k, i in zip(keys, first.tolist()) if k not in self.seen} | {x: x for _, x in apart}
+            if len(self.seen) + len(tokens) > KEPT:
+                self.seen.clear()
+                tokens |= {k: text(i) for k, i in zip(keys, first.tolist())}
+            seen = self.restored(tokens)
+            changed[a:b] += np.bincount(where[np.array([seen[k][0] for k in keys], bool)[which]], minlength=b - a)
+            heavy = np.array([seen[k][1] is not None for k in keys], bool)[which]
+            hits = [(t, keys[k]) for t, k in zip(where[heavy].tolist(), which[heavy].tolist())]
+            for t, k in hits + apart:
+                different, weights = seen[k]
+                if isinstance(k, str):
+                    changed[a + t] += different
+                for k, x in (weights or {}).items():
                     found[t, k] = max(x, found.get((t, k), 0.0))
             for (t, _), x in found.items():
                 total[a + t] += x
