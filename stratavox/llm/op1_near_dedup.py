@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, one_of_each, only, sized, without
-from .textops import mix, word_chunks
+from .textops import frugal, give_back, mix, release, word_chunks
 
 THRESHOLD = 0.5
 ROWS, BANDS = 4, 40
@@ -109,8 +109,10 @@ def _fixed(rows: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+@frugal
 def _sketch(texts: pa.Array) -> pa.Array:
     """{digest, regs}; regs is empty for a document without words."""
+    release()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     regs, some, digest = sketches(texts)
@@ -121,6 +123,7 @@ def _matrix(x: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.to_pylist()), kind).reshape(-1, width)
 
 
+@frugal
 def _bands(regs: pa.Array) -> pa.Array:
     if isinstance(regs, pa.ChunkedArray):
         regs = regs.combine_chunks()
@@ -129,12 +132,15 @@ def _bands(regs: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((np.arange(len(regs) + 1) * BANDS).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
 
 
+@frugal
 def _signature(regs: pa.Array) -> pa.Array:
     """The low bytes of the registers; they differ by less than 256 wherever they matter."""
     return _fixed((_matrix(regs, np.uint16, M) & 255).astype(np.uint8))
 
 
+@frugal
 def _sets(texts: pa.Array) -> pa.Array:
+    release()
     parts = []
     for _, s, first in shingles(texts):
         parts += [np.unique(s[x:y]) for x, y in zip(first[:-1], first[1:])]
@@ -166,6 +172,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
+@frugal
 def _estimate(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(estimate(_matrix(x, np.uint16, M), _matrix(y, np.uint16, M)) if len(x) else np.zeros(0))
 
@@ -229,6 +236,8 @@ def _compare(least: int):
                 held, size = rows.slice(whole).to_batches(), len(group) - whole
         if held:
             yield from settle(pa.Table.from_batches(held))
+        del held
+        give_back()
 
     return run
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, least_hash
-from .textops import Filter, Words, chunks, lower, of_texts, raw, word_chunks, words
+from .textops import Filter, Words, chunks, frugal, held, lower, of_texts, raw, word_chunks, words
 
 #: Labelled documents that the scoring rule is fitted on, at most.
 LABELLED = 20_000
@@ -50,7 +50,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Log probabilities of the channel: a sign read as itself, as a letter; a repeated letter kept whole.
 AS_SIGN, AS_LETTER, AS_IS = -6.0, -1.0, -2.0
 #: Readings that a worker keeps at a time, besides those of the chunk at hand.
-KEPT = 200_000
+KEPT = 100_000
 #: Signs of trigrams: 64 classes of bytes.
 CLASSES = 64
 
@@ -420,20 +420,15 @@ class Scorer:
         return pa.StructArray.from_arrays([pa.array(s), pa.array((s > 0) & (weight > 0)), e.field(2)], names=["score", "toxic", "restored"])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(key: str, shared) -> Scorer:
-    """The scorer of a Python worker, kept from task to task; one at a time."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*shared.value)
-    return _scorers[key]
+    """The scorer of a Python worker, kept from task to task until the worker is put to other use."""
+    return held(("toxicity", key), lambda: Scorer(*shared.value))
 
 
 def _holder(shared, method: str):
     key = uuid.uuid4().hex
 
+    @frugal
     def run(texts: pa.Array) -> pa.Array:
         return getattr(scorer_of(key, shared), method)(texts)
 

@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import frugal, held
+
 #: Where the vocabulary is, unless said otherwise.
 RANKS = os.environ.get("STRATAVOX_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,19 +195,16 @@ class Encoder(dict):
         return [b"".join(map(self.__getitem__, s)) for s in split]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str = PATTERN) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(Vocabulary.read(path), pattern)
-    return _encoders[path, pattern]
+    """The encoder of a Python worker, kept from task to task until the worker is put to other use."""
+    return held(("bpe", path, pattern), lambda: Encoder(Vocabulary.read(path), pattern))
 
 
 _SCHEMA = "struct<tokens: array<int>, n_tokens: bigint, round_trip: boolean>"
 
 
 def _encode(path: str, pattern: str):
+    @frugal
     def run(texts: pa.Array) -> pa.Array:
         enc = encoder(path, pattern)
         packed: list[bytes] = []
@@ -233,6 +232,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFr
 
 
 def _decode(path: str):
+    @frugal
     def run(tokens: pa.Array) -> pa.Array:
         v = encoder(path).v
         return pa.array([None if t is None else v.decode(t) for t in tokens.to_pylist()], pa.binary())

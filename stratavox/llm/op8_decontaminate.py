@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, sized
-from .textops import mix, word_chunks, words
+from .textops import frugal, mix, release, word_chunks, words
 
 MAX_EDITS = 0.2
 #: Steps of a walk, sampled steps; for items of at least SHORT words.
@@ -302,7 +302,9 @@ def _parts(benchmark: DataFrame, max_edits: float, part: int) -> Iterator[Index]
 
 
 def _matcher(shared):
+    @frugal
     def run(texts: pa.Array) -> pa.Array:
+        release()
         return shared.value.matches(texts)
 
     return F.arrow_udf(run, "array<struct<item_id: bigint, edits: bigint, word_end: bigint>>")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,51 @@ import pyarrow as pa
 #: Bytes of text handled at once; bounds the working memory of a worker. A longer text is a chunk by itself.
 CHUNK = 1 << 18
 
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What make() gives, kept in a Python worker from task to task until another key is asked for: a worker that runs one
+    stage after another keeps the tables of one of them."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what an earlier stage has left in this worker."""
+    _held.clear()
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system: workers wait for their next task, and those of an executor add up."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def frugal(f: Callable) -> Callable:
+    """f, each call of which gives free memory back."""
+
+    @wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 _B = 0x9E3779B97F4A7C15 | 1
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
