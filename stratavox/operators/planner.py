@@ -70,10 +70,10 @@ def classify(media: DataFrame, outputs: DataFrame) -> DataFrame:
         F.from_json(F.nullif(F.trim(first), F.lit("")), _MARK, {"mode": "PERMISSIVE"}).alias("mark"),
         F.try_parse_json(F.nullif(F.trim(first), F.lit(""))).isNotNull().alias("sound"),
         T.body_hash(F.col("text")).alias("now"),
-        F.regexp_extract("text", r"(?m)^- \*\*원본 파일\*\*:(.*)$", 1).alias("src"),
+        F.regexp_extract_all("text", F.lit(r"(?m)^- \*\*원본 파일\*\*:(.*)$"), F.lit(1)).alias("sources"),
     )
     m = media.join(o, F.col("out_name") == F.col("o"), "left")
-    ours = F.col("sound") | (T.strip(F.col("src")) == F.col("name"))
+    ours = F.col("sound") | F.exists("sources", lambda x: T.strip(x) == F.col("name"))
     same = F.col("mark.bytes").eqNullSafe(F.col("bytes")) & F.col("mark.cfg").eqNullSafe(F.col("cfg")) & (F.coalesce("mark.pdf", F.lit("")) == F.col("pdf"))
     status = (
         F.when(F.col("o").isNull(), "target")
@@ -88,5 +88,10 @@ def classify(media: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def manifest(media: DataFrame) -> DataFrame:
     """out_name, marker: the comment line that ends an output. media: out_name, name, bytes, cfg, sha, pdf."""
+    return media.select("out_name", marker().alias("marker"))
+
+
+def marker() -> Column:
+    """The marker of a row of name, bytes, cfg, sha, pdf."""
     mark = F.to_json(F.struct(F.col("name").alias("src"), "bytes", "cfg", "sha", "pdf"))
-    return media.select("out_name", F.concat(F.lit(K.MARKER + " "), mark, F.lit(" -->")).alias("marker"))
+    return F.concat(F.lit(K.MARKER + " "), mark, F.lit(" -->"))

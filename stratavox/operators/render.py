@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from . import planner
 
 
 def summary(screens: DataFrame, paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -109,6 +110,15 @@ def render(lectures: DataFrame, screens: DataFrame, paragraphs: DataFrame, spans
     return whole.select("lecture_id", F.posexplode(lines).alias("line_no", "text"))
 
 
+def marked(rendered: DataFrame, lectures: DataFrame) -> DataFrame:
+    """lecture_id, text: each lecture's whole document, ended by the marker line by which the next plan knows it.
+    lectures: lecture_id, name, bytes, cfg, pdf. One shuffle by lecture."""
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    body = rendered.groupBy("lecture_id").agg(F.concat(F.array_join(F.transform(rows, lambda x: x["text"]), "\n"), F.lit("\n\n")).alias("body"))
+    whole = body.join(lectures, "lecture_id").withColumn("sha", T.body_hash(F.col("body")))
+    return whole.select("lecture_id", F.concat("body", planner.marker(), F.lit("\n")).alias("text"))
+
+
 def write(rendered: DataFrame, path: str) -> None:
     """Each lecture's lines, in order, as text in a folder of its own; the commit protocol makes the write atomic."""
     one = rendered.repartition("lecture_id").sortWithinPartitions("lecture_id", "line_no")

@@ -84,7 +84,7 @@ HDOC = "hdoc AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN trans
 STEMS = "stems AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '회계' || page_id % 5 || ' ' || page_id % 16 || '-' || page_id % 3 || '강' WHEN 1 THEN page_id % 9 || '주차교재' WHEN 2 THEN 'Lecture-' || page_id || ' Notes ' || repeat('x ', CAST(page_id % 70 AS INT)) ELSE url END AS s FROM pages)"
 
 SQL["fmt_ts"] = f"SELECT doc_id, {ts('n_chars * 1.37::DOUBLE - 300')} AS ts FROM documents"
-SQL["safe_stem"] = r"SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE regexp_replace(left(s, 120), '\s+$', '') || '~' END AS name FROM (SELECT doc_id, left(replace(text, chr(10), ' '), 130) AS s FROM documents)"
+SQL["safe_stem"] = r"SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE regexp_replace(left(s, 120), '\s+$', '') || '~' END AS name FROM (SELECT doc_id, replace(text, chr(10), ' ') AS s FROM documents)"
 _w = folded("replace(text, chr(10), ' ')", 2)
 SQL["slide_key"] = f"SELECT doc_id, len({_w}) AS n, {joined(_w)} AS words FROM documents"
 SQL["name_tokens"] = f"WITH {STEMS} SELECT page_id, len({folded('s', 1)}) AS n, {joined(folded('s', 1))} AS words FROM stems"
@@ -169,7 +169,7 @@ scr AS (
   SELECT lecture_id, seq AS slide_no, start_s AS t_s,
          CASE WHEN seq % 4 = 0 THEN [text] ELSE [translate(text, 'aeiou', 'AEIOU'), 'Slide number ' || seq % 7, 'further points'] END AS lines,
          CASE WHEN seq % 8 = 5 THEN seq || '쪽' END AS page_label
-  FROM seg WHERE seq % 4 < 2
+  FROM seg
 )"""
 LABEL = f"""
 near AS (SELECT s.lecture_id, s.slide_no, string_agg(p.text, ' ' ORDER BY p.para_no) AS said FROM scr s JOIN paras p ON p.lecture_id = s.lecture_id AND abs(p.start_s - s.t_s) <= 25 GROUP BY ALL),
@@ -199,7 +199,7 @@ SQL["vad_lost"] = f"WITH {SEG}, {INFO} SELECT lecture_id, round(1 - coalesce(kep
 SQL["pts_times"] = "SELECT event_id AS lecture_id, i - 1 AS frame_no, CAST(event_id || '.' || i AS DOUBLE) AS t_s FROM (SELECT event_id, unnest(range(1, event_id % 4 + 2)) AS i FROM events)"
 SQL["has_video"] = "SELECT l_orderkey AS lecture_id, bool_or(l_linenumber % 3 = 1 AND l_quantity <= 25) AS has_video FROM lineitem GROUP BY 1"
 SQL["truncation_check"] = "SELECT o_orderkey AS lecture_id, CAST(o_orderkey AS DOUBLE) AS got_s, o_orderkey < (o_orderkey + o_orderkey % 50) * 0.98::DOUBLE AS truncated FROM orders"
-SQL["missing_langs"] = "SELECT doc_id AS lecture_id, lang FROM documents WHERE lang NOT IN (SELECT lang FROM documents WHERE source = 'src1' AND lang <> 'de')"
+SQL["missing_langs"] = "SELECT doc_id AS lecture_id, lang FROM documents WHERE lang NOT IN ('en', 'fr', 'ko')"
 SQL["run_summary"] = "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1"
 SQL["pick_crop"] = "SELECT source AS lecture_id, coalesce(sum(CASE WHEN doc_id % 2 = 1 THEN len(string_split(text, chr(10))) END), 0) > coalesce(sum(CASE WHEN doc_id % 2 = 0 THEN len(string_split(text, chr(10))) END), 0) AS cropped FROM documents GROUP BY 1"
 SQL["speech_gaps"] = f"WITH {SEG}, g AS (SELECT lecture_id, seq, start_s - lag(end_s) OVER (PARTITION BY lecture_id ORDER BY seq) AS gap FROM seg) SELECT lecture_id, seq, round(gap, 6) AS gap_s, coalesce(gap >= 2, false) AS breaks FROM g"
@@ -362,3 +362,7 @@ head AS (
   FROM head LEFT JOIN tl USING (lecture_id) LEFT JOIN body USING (lecture_id)
 )
 SELECT lecture_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM whole"""
+_whole = SQL["render_lines"].rsplit("\nSELECT ", 1)[0]
+SQL["render_marked"] = f"""{_whole}, doc AS (SELECT lecture_id, array_to_string(l, chr(10)) || chr(10) || chr(10) AS b FROM whole)
+SELECT lecture_id, b || '{K.MARKER} {{"src":"' || file || '","bytes":' || lecture_id * 1000 || ',"cfg":"cfg1","sha":"' || left(sha256(b), 16) || '","pdf":"' || coalesce(materials, '') || '"}} -->' || chr(10) AS text
+FROM doc JOIN info USING (lecture_id)"""

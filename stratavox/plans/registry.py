@@ -64,7 +64,7 @@ def fmt_ts(t):
 
 @query
 def safe_stem(t):
-    return t.documents.select("doc_id", T.short_name(F.left(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit(130))).alias("name"))
+    return t.documents.select("doc_id", T.short_name(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).alias("name"))
 
 
 @query
@@ -188,7 +188,7 @@ def truncation_check(t):
 
 @query
 def missing_langs(t):
-    return render.missing_languages(t.documents.select(F.col("doc_id").alias("lecture_id"), "lang"), t.documents.filter("source = 'src1'").select("lang").distinct().filter("lang <> 'de'"))
+    return render.missing_languages(t.documents.select(F.col("doc_id").alias("lecture_id"), "lang"), t.spark.createDataFrame([("en",), ("fr",), ("ko",)], "lang string"))
 
 
 @query
@@ -350,13 +350,22 @@ def manifest(t):
     return planner.manifest(media.withColumn("sha", T.body_hash(F.col("out_name"))))
 
 
-@query
-def render_lines(t):
+def _rendered(t):
     p = _paragraphs(t)
     s = screens.label_screens(views.screens(t), p)
     spans = screens.video_spans(s)
-    r = render.render(views.info(t), screens.screen_ends(s, views.info(t)), screens.in_video(p, spans), spans, screens.contents(s))
-    return r.select("lecture_id", _long(F.col("line_no")).alias("line_no"), "text")
+    return render.render(views.info(t), screens.screen_ends(s, views.info(t)), screens.in_video(p, spans), spans, screens.contents(s))
+
+
+@query
+def render_lines(t):
+    return _rendered(t).select("lecture_id", _long(F.col("line_no")).alias("line_no"), "text")
+
+
+@query
+def render_marked(t):
+    lectures = views.info(t).select("lecture_id", F.col("file").alias("name"), (F.col("lecture_id") * 1000).alias("bytes"), F.lit("cfg1").alias("cfg"), F.coalesce("materials", F.lit("")).alias("pdf"))
+    return render.marked(_rendered(t), lectures)
 
 
 ORACLES = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

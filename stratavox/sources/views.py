@@ -51,7 +51,7 @@ def benchmark_pages(t: Tables) -> DataFrame:
 
 def screens(t: Tables) -> DataFrame:
     """Screens among the speech of v_segments: every fourth segment is burnt in as a subtitle, others show slides."""
-    s = segments(t).filter(F.col("seq") % 4 < 2)
+    s = segments(t)
     upper = F.array(F.translate("text", "aeiou", "AEIOU"), F.concat(F.lit("Slide number "), (F.col("seq") % 7).cast("string")), F.lit("further points"))
     lines = F.when(F.col("seq") % 4 == 0, F.array("text")).otherwise(upper)
     label = F.when(F.col("seq") % 8 == 5, F.concat(F.col("seq").cast("string"), F.lit("쪽")))

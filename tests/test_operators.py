@@ -163,3 +163,17 @@ def test_same_answer_for_any_partitioning(spark):
     a = paragraphs.paragraphs(df.repartition(1)).orderBy("lecture_id", "para_no").collect()
     b = paragraphs.paragraphs(df.orderBy(F.rand(3)).repartition(7)).orderBy("lecture_id", "para_no").collect()
     assert a == b
+
+
+def test_written_documents_are_known_to_the_next_plan(spark):
+    lines = [(1, 0, "# a"), (1, 1, "- **원본 파일**: a.mp4"), (1, 2, "text"), (2, 0, "# b"), (2, 1, "other")]
+    lectures = spark.createDataFrame([(1, "a.mp4", 10, "c", ""), (2, "b.mp4", 20, "c", "p.pdf")], "lecture_id long, name string, bytes long, cfg string, pdf string")
+    made = render.marked(spark.createDataFrame(lines, "lecture_id long, line_no int, text string"), lectures)
+    outputs = made.select(F.col("lecture_id").cast("string").alias("out_name"), "text")
+    media = lectures.select(F.col("name").alias("rel_path"), "name", "bytes", F.col("lecture_id").cast("string").alias("out_name"), "cfg", "pdf")
+    status = lambda m, o: sorted(r["status"] for r in planner.classify(m, o).collect())
+    assert status(media, outputs) == ["done", "done"]
+    assert status(media, outputs.withColumn("text", F.regexp_replace("text", "other", "edited"))) == ["done", "edited"]
+    assert status(media.withColumn("cfg", F.lit("d")), outputs) == ["rebuilt", "rebuilt"]
+    bare = outputs.select("out_name", F.lit("- **원본 파일**: x.mp4\n- **원본 파일**: a.mp4\n").alias("text"))
+    assert status(media, bare) == ["blocked", "target"]
