@@ -12,28 +12,47 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 
+#: Parts of the documents of one name, each joined by a task of its own.
+_PARTS = 16
+
+
+def _matched_names(media: DataFrame, materials: DataFrame) -> DataFrame:
+    """stem, m_stem: the distinct names that match. Containment is an equi-join of courses with the pieces of a
+    document's name that have some course's length, so that each candidate is a hit; common words are counted by word."""
+    course, week, _ = T.course(F.col("stem"))
+    m = media.select("stem").distinct().select("stem", T.flat(course).alias("course"), week.alias("w"), T.name_words(F.col("stem")).alias("want"))
+    d = materials.select(F.col("stem").alias("m_stem")).distinct()
+    d = d.select("m_stem", T.flat(F.col("m_stem")).alias("flat"), T.week(F.col("m_stem")).alias("mw"), T.name_words(F.col("m_stem")).alias("have")).filter(F.size("have") > 0)
+    same_week = F.coalesce(F.col("w") == F.col("mw"), F.lit(True))
+    named = m.filter("course <> ''").select("stem", "course", "w")
+    lengths = F.broadcast(named.select(F.length("course").alias("n")).distinct())
+    pieces = F.transform(F.sequence(F.lit(1), F.length("flat") - F.col("n") + 1), lambda i: F.substring(F.col("flat"), i, F.col("n")))
+    held = d.join(lengths, F.length("flat") >= F.col("n")).select("m_stem", "mw", F.explode(F.array_distinct(pieces)).alias("course"))
+    by_name = named.join(held, "course").filter(same_week).select("stem", "m_stem")
+    left = m.select("stem", "w", F.size("want").alias("a"), F.explode("want").alias("word"))
+    right = d.select("m_stem", "mw", F.size("have").alias("b"), F.explode("have").alias("word"))
+    common = left.join(right, "word").filter(same_week).groupBy("stem", "m_stem").agg((F.count("*") / F.min(F.least("a", "b"))).alias("share"))
+    return by_name.union(common.filter(F.col("share") >= K.NAME_SHARE).select("stem", "m_stem")).distinct()
+
 
 def match_materials(media: DataFrame, materials: DataFrame) -> DataFrame:
     """lecture_id, stem, material, m_stem of all matches: the course's name in the document's, or half of the words in
     common; not if both names tell a week and the weeks differ. A lecture without any usable name matches nothing.
 
-    Both conditions need a shared word or a shared piece of name, so the join is on blocks: the words, and for
-    containment the first two characters of the flat course name at each place of the document's."""
-    course, week, _ = T.course(F.col("stem"))
-    m = media.select("lecture_id", "stem", T.flat(course).alias("course"), week.alias("w"), T.name_words(F.col("stem")).alias("want"))
-    d = materials.select(F.col("name").alias("material"), F.col("stem").alias("m_stem"), T.flat(F.col("stem")).alias("flat"), T.week(F.col("stem")).alias("mw"), T.name_words(F.col("stem")).alias("have")).filter(F.size("have") > 0)
-    by_word = m.select("lecture_id", F.explode("want").alias("word")).join(d.select("material", F.explode("have").alias("word")), "word").select("lecture_id", "material")
-    piece = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    left = m.filter(F.length("course") >= 2).select("lecture_id", F.left("course", F.lit(2)).alias("piece"))
-    right = d.select("material", F.explode(F.array_distinct(piece(F.col("flat")))).alias("piece"))
-    by_name = left.join(right, "piece").select("lecture_id", "material")
-    single = m.filter(F.length("course") == 1).select("lecture_id", F.col("course").alias("piece"))
-    chars = d.select("material", F.explode(F.array_distinct(F.split("flat", ""))).alias("piece"))
-    pairs = by_word.union(by_name).union(single.join(chars, "piece").select("lecture_id", "material")).distinct()
-    both = pairs.join(m, "lecture_id").join(d, "material")
-    share = F.try_divide(F.size(F.array_intersect("want", "have")), F.least(F.size("want"), F.size("have")))
-    ok = ((F.col("course") != "") & F.contains("flat", "course")) | (F.coalesce(share, F.lit(0.0)) >= K.NAME_SHARE)
-    return both.filter(ok & F.coalesce(F.col("w") == F.col("mw"), F.lit(True))).select("lecture_id", "stem", "material", "m_stem")
+    Names are matched once each, and only matches are spread over the lectures and documents that bear them: no pair is
+    made that isn't in the result. A name of many documents is spread over several tasks."""
+    spread = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
+    wanted = media.select("lecture_id", "stem").join(_matched_names(media, materials), "stem").select("lecture_id", "stem", "m_stem", parts.alias("part"))
+    d = materials.select(F.col("name").alias("material"), F.col("stem").alias("m_stem"), F.pmod(F.xxhash64("name"), F.lit(_PARTS)).cast("int").alias("part"))
+    # a given number of partitions isn't coalesced: the rows are few before the join and many after it
+    return wanted.repartition(spread, "m_stem", "part").join(d, ["m_stem", "part"]).select("lecture_id", "stem", "material", "m_stem")
+
+
+def matched_pages(media: DataFrame, materials: DataFrame, pages: DataFrame) -> DataFrame:
+    """``labelled_pages`` of the matches. Documents without pages don't count for them and aren't matched."""
+    paged = materials.join(pages.select(F.col("material").alias("name")).distinct(), "name", "left_semi")
+    return labelled_pages(match_materials(media, paged), pages)
 
 
 def labelled_pages(matches: DataFrame, pages: DataFrame) -> DataFrame:
@@ -41,7 +60,7 @@ def labelled_pages(matches: DataFrame, pages: DataFrame) -> DataFrame:
     label names the document if more than one has pages."""
     p = matches.join(pages, "material")
     by = Window.partitionBy("lecture_id")
-    many = F.size(F.collect_set("material").over(by)) > 1
+    many = F.min("material").over(by) != F.max("material").over(by)
     page = F.concat(F.col("page_no").cast("string"), F.lit("쪽"))
     return p.select(
         "lecture_id",

@@ -177,3 +177,19 @@ def test_written_documents_are_known_to_the_next_plan(spark):
     assert status(media.withColumn("cfg", F.lit("d")), outputs) == ["rebuilt", "rebuilt"]
     bare = outputs.select("out_name", F.lit("- **원본 파일**: x.mp4\n- **원본 파일**: a.mp4\n").alias("text"))
     assert status(media, bare) == ["blocked", "target"]
+
+
+def test_materials_make_no_pair_that_does_not_match(spark):
+    """A thousand lectures and documents that share a word but no match: the joins may not pair them."""
+    m = spark.createDataFrame([(i, f"회계 {i + 1}-1강") for i in range(1000)], "lecture_id long, stem string")
+    d = spark.createDataFrame([(f"{i}.pdf", f"회계 교재 {i % 2 + 5001}주차") for i in range(1000)] + [("x", "회계 7주차"), ("x", "회계 7주차"), ("y", "회계"), (None, "회계 8주차"), ("z", None)], "name string, stem string")
+    got = materials.match_materials(m, d)
+    assert sorted((r["lecture_id"], str(r["material"])) for r in got.collect() if r["material"] != "y") == [(6, "x"), (6, "x"), (7, "None")]
+    assert got.count() == 1003
+    many = spark.range(40_000)
+    m, d = many.select(F.col("id").alias("lecture_id"), F.lit("회계 6-1강").alias("stem")), many.select(F.col("id").cast("string").alias("name"), F.lit("회계 7주차").alias("stem"))
+    assert materials.match_materials(m, d).count() == 0
+    pages = spark.createDataFrame([("3", 1, "a"), ("3", 2, "b")], "material string, page_no int, text string")
+    d = d.withColumn("stem", F.lit("회계 6주차"))
+    out = materials.matched_pages(m.filter("lecture_id < 3"), d, pages)
+    assert sorted((r["lecture_id"], r["page_idx"], r["label"]) for r in out.collect()) == [(i, k, f"{k + 1}쪽") for i in range(3) for k in range(2)]
