@@ -261,9 +261,8 @@ def match_materials(t):
 
 @query
 def pages_labeled(t):
-    matches = materials.match_materials(views.info(t), views.materials(t))
     pages = t.benchmark.select(F.concat((F.col("item_id") % 20 + 1).cast("string"), F.lit(".pdf")).alias("material"), F.col("item_id").alias("page_no"), "text")
-    return materials.labelled_pages(matches, pages).select("lecture_id", _long(F.col("page_idx")).alias("page_idx"), "label", "text")
+    return materials.matched_pages(views.info(t), views.materials(t), pages).select("lecture_id", _long(F.col("page_idx")).alias("page_idx"), "label", "text")
 
 
 @query
