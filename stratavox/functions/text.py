@@ -44,7 +44,7 @@ def short_name(c: Column, limit: int = K.NAME_CHARS) -> Column:
 
 def folded_words(c: Column, least: int) -> Column:
     """Distinct words of digits, Latin small letters and Hangul, of at least so many characters."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), OTHERS, " "), " "), lambda x: F.length(x) >= least))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"[{KEPT}]{{{least},}}"), F.lit(0)))
 
 
 def screen_words(lines: Column) -> Column:
@@ -60,9 +60,9 @@ def flat(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Distinct pairs of neighbouring characters after ``flat``; none for fewer than two characters."""
-    pairs = lambda x: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y, i: F.concat(y, F.get(x, i + 1)))
-    return let(F.filter(F.split(flat(c), ""), lambda x: x != ""), lambda x: F.when(F.size(x) >= 2, F.array_distinct(pairs(x))).otherwise(F.array().cast("array<string>")))
+    """Distinct pairs of neighbouring characters after ``flat``; none for fewer than two characters. A look-ahead yields
+    the pair at each place without a lambda, which would be interpreted for each character."""
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(flat(c), F.lit("(?=(..))"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def count_of(c: Column, pattern: str) -> Column:

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import pairs
 from ..functions import text as T
 from ..operators import materials, paragraphs, planner, render, screens
 from ..sources import readers, views
@@ -28,7 +29,8 @@ def query(f):
 
 
 def _joined(words):
-    return F.array_join(F.array_sort(words), " ")
+    # array_sort would interpret its comparison
+    return F.array_join(F.sort_array(words), " ")
 
 
 def _long(c):
@@ -81,8 +83,8 @@ def name_tokens(t):
 
 @query
 def page_key(t):
-    w = T.bigrams(F.col("text"))
-    return t.documents.select("doc_id", _long(F.size(w)).alias("n"), F.md5(_joined(w)).alias("h"))
+    w = F.col("w")
+    return t.documents.select("doc_id", pairs.bigrams(F.col("text")).alias("w")).select("doc_id", _long(F.size(w)).alias("n"), F.md5(F.array_join(w, " ")).alias("h"))
 
 
 @query

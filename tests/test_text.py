@@ -67,3 +67,33 @@ def test_body_hash_stops_at_the_first_marker(spark):
 def test_short_name(spark):
     assert one(spark, "x" * 120, T.short_name) == "x" * 120
     assert one(spark, "x" * 119 + "  y", T.short_name) == "x" * 119 + "~"
+
+
+def test_numeric_bigrams_are_those_of_the_expression(spark):
+    """Every code point folds as ``flat`` does, and the work of a text isn't interpreted by the character."""
+    import time
+
+    from stratavox.functions import pairs
+
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    flat = spark.createDataFrame([(k, "".join(f"{chr(i)}\n" for i in points[k : k + 4096])) for k in range(0, len(points), 4096)], "k int, s string")
+    got = flat.select("k", T.flat(F.col("s")).alias("f")).collect()
+    assert all(r["f"] == "".join(chr(c) for i in points[r["k"] : r["k"] + 4096] if (c := int(pairs._FOLD[i]))) for r in got)
+    texts = [None, "", "a", "Ab", "a b\n가-나다", "aaaa", "İK x", "😀a😀b", "0" * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    assert all(r["a"] == r["b"] for r in df.select(F.sort_array(T.bigrams(F.col("s"))).alias("a"), pairs.bigrams(F.col("s")).alias("b")).collect())
+    long = spark.range(40, numPartitions=1).select(F.concat(F.repeat(F.lit("Lorem ipsum 가나다 "), 6000), F.col("id").cast("string")).alias("s"))
+    began = time.time()
+    assert long.select(F.sum(F.size(pairs.bigrams(F.col("s"))))).first()[0] > 0
+    assert time.time() - began < 5  # 4 million characters
+
+
+def test_words_have_no_interpreted_step(spark):
+    """Words and their sorting for a whole table: lambdas and array_sort's comparison would be interpreted for each word."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["slide_key"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "array_sort" not in plan
+    df = spark.createDataFrame([(None,), ("",), ("a",), ("Ab-c ab",), ("가 나다 x1 x1",)], "s string")
+    for least, want in ((2, [None, [], [], ["ab"], ["나다", "x1"]]), (1, [None, [], ["a"], ["ab", "c"], ["가", "나다", "x1"]])):
+        assert [r["w"] for r in df.select(T.folded_words(F.col("s"), least).alias("w")).collect()] == want
