@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 
+#: Rows that a worker holds as Python objects at a time.
+_ROWS = 256
+
 
 def recognised_lines(tokens: DataFrame, plain: DataFrame) -> DataFrame:
     """lecture_id, frame_s, pass_no, line_no, top, text, conf of the lines worth keeping. tokens: rows of the recogniser's
@@ -64,24 +69,45 @@ def pick_crop(probes: DataFrame) -> DataFrame:
     return probes.groupBy("lecture_id").agg((n("crop") > n("full")).alias("cropped"))
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merged screens of rows in the order of lecture_id and slide_no. Only the last few merged screens can still change;
+    earlier ones are passed on, so that memory hangs neither on a lecture's length nor on a partition's."""
+    recent: list[list] = []
+    lecture, schema = None, None
+    for batch in batches:
+        schema = pa.schema([batch.schema.field(c) for c in ("lecture_id", "slide_no", "t_s", "lines")])
+        for x in range(0, batch.num_rows, _ROWS):
+            out: list[list] = []
+            for row in batch.slice(x, _ROWS).to_pylist():
+                words, score = set(row["words"] or ()), row["score"]
+                if row["lecture_id"] != lecture:
+                    out += recent
+                    recent, lecture = [], row["lecture_id"]
+                if not words:
+                    continue
+                hit = next((m for m in reversed(recent) if len(words & m[4]) >= K.MERGE_SHARE * min(len(words), len(m[4]))), None)
+                if hit is None:
+                    recent.append([lecture, row["slide_no"], row["t_s"], row["lines"], words, score])
+                    out += recent[: -K.LOOK_BACK]
+                    del recent[: -K.LOOK_BACK]
+                elif score > hit[5]:
+                    hit[3:] = [row["lines"], words, score]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in out], f.type) for k, f in enumerate(schema)], schema=schema)
+    if recent:
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in recent], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
 def merge_screens(screens: DataFrame) -> DataFrame:
     """Repeated screens as one: each is compared with the last few merged ones, newest first; a hit takes the better
-    reading and keeps the first time. screens: lecture_id, slide_no, t_s, lines."""
-    s = screens.withColumn("words", T.screen_words(F.col("lines"))).withColumn("score", T.reading_score(F.col("lines"))).filter((F.size("lines") > 0) & (F.size("words") > 0))
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for no, t, lines, words, score in g.sort_values("slide_no")[["slide_no", "t_s", "lines", "words", "score"]].itertuples(index=False):
-            words = set(words)
-            hit = next((m for m in reversed(out[-K.LOOK_BACK :]) if len(words & m[3]) >= K.MERGE_SHARE * min(len(words), len(m[3]))), None)
-            if hit is None:
-                out.append([no, t, lines, words, score])
-            elif score > hit[4]:
-                hit[2:] = [lines, words, score]
-        return pd.DataFrame({"lecture_id": g["lecture_id"].iloc[0], "slide_no": [x[0] for x in out], "t_s": [x[1] for x in out], "lines": [x[2] for x in out]})
+    reading and keeps the first time. screens: lecture_id, slide_no, t_s, lines.
 
+    Words and scores, the costly part, are worked out wherever a screen happens to be; only the comparison goes along a
+    lecture, as a stream."""
+    s = screens.select("lecture_id", F.col("slide_no").cast("int").alias("slide_no"), F.col("t_s").cast("double").alias("t_s"), "lines").repartition("lecture_id", "slide_no")
+    s = s.withColumn("words", T.screen_words(F.col("lines"))).withColumn("score", T.reading_score(F.col("lines")))
+    s = s.repartition("lecture_id").sortWithinPartitions("lecture_id", "slide_no")
     kind = s.schema["lecture_id"].dataType.simpleString()
-    return s.groupBy("lecture_id").applyInPandas(merge, f"lecture_id {kind}, slide_no int, t_s double, lines array<string>")
+    return s.mapInArrow(_merge, f"lecture_id {kind}, slide_no int, t_s double, lines array<string>")
 
 
 def label_screens(screens: DataFrame, paragraphs: DataFrame) -> DataFrame:

@@ -193,3 +193,21 @@ def test_materials_make_no_pair_that_does_not_match(spark):
     d = d.withColumn("stem", F.lit("회계 6주차"))
     out = materials.matched_pages(m.filter("lecture_id < 3"), d, pages)
     assert sorted((r["lecture_id"], r["page_idx"], r["label"]) for r in out.collect()) == [(i, k, f"{k + 1}쪽") for i in range(3) for k in range(2)]
+
+
+def test_merging_is_a_stream(spark):
+    """A lecture in small batches: merged screens are passed on as soon as they are beyond the look back."""
+    import pyarrow as pa
+
+    n = 10_000
+    rows = lambda k: {"lecture_id": ["l"] * 100, "slide_no": list(range(100 * k, 100 * k + 100)), "t_s": [0.0] * 100, "lines": [["x"]] * 100, "words": [[f"w{100 * k + i}"] for i in range(100)], "score": [1] * 100}
+    held, seen = 0, 0
+    batches = (pa.RecordBatch.from_pydict(rows(k)) for k in range(n // 100))
+    for k, out in enumerate(screens._merge(batches)):
+        seen += out.num_rows
+        held = max(held, 100 * (k + 1) - seen) if k < n // 100 else held
+    assert seen == n and held <= K.LOOK_BACK
+    two = slides(spark, [(0, ["alpha beta"]), (30, ["alpha beta gamma"]), (60, ["delta"])])
+    both = two.union(two.withColumn("lecture_id", F.lit(None).cast("string"))).union(two.withColumn("lecture_id", F.lit("k")))
+    got = sorted((str(r["lecture_id"]), r["t_s"], r["lines"]) for r in screens.merge_screens(both).collect())
+    assert got == [(k, t, x) for k in ("None", "k", "l") for t, x in ((0, ["alpha beta gamma"]), (60, ["delta"]))]
