@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -110,20 +110,47 @@ def merge_screens(screens: DataFrame) -> DataFrame:
     return s.mapInArrow(_merge, f"lecture_id {kind}, slide_no int, t_s double, lines array<string>")
 
 
+def timeline(screens: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """lecture_id, screen, para, kind: a row for each screen (its columns, and its kind) and for each paragraph. A short
+    screen whose words were mostly spoken nearby is a subtitle.
+
+    One shuffle by lecture; whatever goes on by lecture needs no other. Paragraphs nearby are a range of the rows in the
+    order of time, so that no lecture is paired with itself. The range is a second wider, as its bounds are rounded
+    otherwise than the difference of two times."""
+    rest = lambda df: F.struct(*(c for c in df.columns if c != "lecture_id"))
+    s = screens.select("lecture_id", F.col("t_s").alias("at"), rest(screens).alias("screen"), T.screen_words(F.col("lines")).alias("sw"))
+    p = paragraphs.select("lecture_id", F.col("start_s").alias("at"), rest(paragraphs).alias("para"), F.struct(F.col("start_s").alias("p_s"), T.folded_words(F.col("text"), 2).alias("pw")).alias("said"))
+    w = Window.partitionBy("lecture_id").orderBy("at").rangeBetween(-(K.NEAR_S + 1), K.NEAR_S + 1)
+    rows = s.unionByName(p, allowMissingColumns=True).withColumn("near", F.when(F.col("screen").isNotNull(), F.collect_list("said").over(w)))
+    words = F.flatten(F.transform(F.filter("near", lambda x: F.abs(x["p_s"] - F.col("at")) <= K.NEAR_S), lambda x: x["pw"]))
+    share = F.try_divide(F.size(F.array_intersect("sw", words)), F.size("sw"))
+    size = F.aggregate("screen.lines", F.lit(0), lambda s, x: s + F.length(x))
+    subtitle = (F.size("screen.lines") <= K.SUBTITLE_LINES) & (size <= K.SUBTITLE_CHARS) & (F.coalesce(share, F.lit(0.0)) >= K.SUBTITLE_SHARE)
+    kind = F.when(F.col("screen").isNotNull(), F.when(subtitle, K.SUBTITLE).otherwise(K.SLIDE))
+    return rows.select("lecture_id", "screen", "para", kind.alias("kind"))
+
+
 def label_screens(screens: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """screens with kind: a short one whose words were mostly spoken nearby is a subtitle. The band join is an equi-join
-    on buckets of the band's width, each screen in three of them, so that no lecture is paired with itself in full."""
-    width = K.NEAR_S
-    keys = screens.select("lecture_id", "slide_no", "t_s", T.screen_words(F.col("lines")).alias("sw"))
-    near = keys.filter(F.size("sw") > 0).select("*", F.explode(F.array(*(F.floor(F.col("t_s") / width) + d for d in (-1, 0, 1)))).alias("bucket"))
-    said = paragraphs.select("lecture_id", F.floor(F.col("start_s") / width).alias("bucket"), F.col("start_s").alias("p_s"), T.folded_words(F.col("text"), 2).alias("pw"))
-    met = near.join(said, ["lecture_id", "bucket"]).filter(F.abs(F.col("p_s") - F.col("t_s")) <= width)
-    share = met.groupBy("lecture_id", "slide_no").agg(F.array_distinct(F.flatten(F.collect_list("pw"))).alias("nw"), F.first("sw").alias("sw"))
-    share = share.select("lecture_id", "slide_no", (F.size(F.array_intersect("sw", "nw")) / F.size("sw")).alias("share"))
-    size = F.aggregate("lines", F.lit(0), lambda s, x: s + F.length(x))
-    subtitle = (F.size("lines") <= K.SUBTITLE_LINES) & (size <= K.SUBTITLE_CHARS) & (F.coalesce("share", F.lit(0.0)) >= K.SUBTITLE_SHARE)
-    out = screens.join(share, ["lecture_id", "slide_no"], "left")
-    return out.withColumn("kind", F.when(subtitle, K.SUBTITLE).otherwise(K.SLIDE)).drop("share")
+    """screens with kind, see ``timeline``."""
+    t = timeline(screens, paragraphs.select("lecture_id", "start_s", "text")).filter(F.col("screen").isNotNull())
+    return t.select(*(c if c == "lecture_id" else F.col(f"screen.{c}") for c in screens.columns), "kind")
+
+
+def marked_timeline(timeline: DataFrame) -> DataFrame:
+    """timeline with span (from_s and to_s, at the first screen of each playback span, else NULL) and video (of
+    paragraphs: whether they begin within a padded span). Of the spans that begin early enough, the one that ends last
+    decides, so a running maximum does."""
+    is_screen = F.col("screen").isNotNull()
+    no, t_s, start = F.col("screen.slide_no"), F.col("screen.t_s"), F.col("para.start_s")
+    run = F.row_number().over(Window.partitionBy("lecture_id", is_screen).orderBy(no)) - F.row_number().over(Window.partitionBy("lecture_id", "kind").orderBy(no))
+    t = timeline.withColumn("run", F.when(F.col("kind") == K.SUBTITLE, run))
+    by = Window.partitionBy("lecture_id", "run")
+    first = (F.col("kind") == K.SUBTITLE) & (F.count("*").over(by) >= K.SPAN_SLIDES) & (no == F.min(no).over(by))
+    t = t.withColumn("span", F.when(first, F.struct(t_s.alias("from_s"), F.max_by(t_s, no).over(by).alias("to_s")))).drop("run")
+    key = F.when(is_screen, F.col("span.from_s") - K.SPAN_PAD_S).otherwise(start)
+    begun = Window.partitionBy("lecture_id").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("key", key).withColumn("until", F.max(F.col("span.to_s") + K.SPAN_PAD_S).over(begun))
+    return t.withColumn("video", F.when(~is_screen, F.coalesce(start <= F.col("until"), F.lit(False)))).drop("key", "until")
 
 
 def video_spans(labelled: DataFrame) -> DataFrame:
@@ -151,9 +178,14 @@ def screen_ends(screens: DataFrame, info: DataFrame) -> DataFrame:
     return out.withColumn("end_s", F.coalesce(F.lead("t_s").over(w), F.col("duration_s"))).drop("duration_s")
 
 
+def contents_worthy(lines: Column, page_label: Column, kind: Column) -> Column:
+    """Whether a screen can be in the contents, if it has a title."""
+    return (kind == K.SLIDE) & ((F.size(lines) >= 2) | ((F.size(lines) > 0) & page_label.isNotNull()))
+
+
 def contents(labelled: DataFrame) -> DataFrame:
     """lecture_id, t_s, page_label, title: the first slide of each title, in time order."""
     c = labelled.withColumn("title", T.title(F.col("lines")))
-    c = c.filter((F.col("kind") == K.SLIDE) & ((F.size("lines") >= 2) | ((F.size("lines") > 0) & F.col("page_label").isNotNull())) & F.col("title").isNotNull())
+    c = c.filter(contents_worthy(F.col("lines"), F.col("page_label"), F.col("kind")) & F.col("title").isNotNull())
     first = Window.partitionBy("lecture_id", "title").orderBy("t_s", "slide_no")
     return c.withColumn("n", F.row_number().over(first)).filter("n = 1").select("lecture_id", "slide_no", "t_s", "page_label", "title")
