@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from . import planner
+from .screens import contents_worthy
 
 
 def summary(screens: DataFrame, paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -22,6 +23,20 @@ def summary(screens: DataFrame, paragraphs: DataFrame, spans: DataFrame) -> Data
     return out.select("lecture_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("screens", "slides", "from_pages", "subtitles", "spans", "paragraphs", "suspects")))
 
 
+def _counts() -> list[Column]:
+    """The columns of ``summary`` over rows of ``screens.marked_timeline``."""
+    slide = F.col("kind") == K.SLIDE
+    return [
+        F.count("screen").alias("screens"), F.count_if(slide).alias("slides"), F.count_if(slide & F.col("screen.page_label").isNotNull()).alias("from_pages"), F.count_if(F.col("kind") == K.SUBTITLE).alias("subtitles"),
+        F.count("span").alias("spans"), F.count("para").alias("paragraphs"), F.count_if("para.suspect").alias("suspects"),
+    ]
+
+
+def timeline_summary(marked: DataFrame) -> DataFrame:
+    """``summary`` of rows of ``screens.marked_timeline``."""
+    return marked.groupBy("lecture_id").agg(*_counts())
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """status, n of per-lecture results."""
     return results.groupBy("status").agg(F.count("*").alias("n"))
@@ -67,10 +82,10 @@ def _line(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def header(lectures: DataFrame, counts: DataFrame) -> DataFrame:
+def header(lectures: DataFrame, counts: DataFrame, *more: Column | str) -> DataFrame:
     """lecture_id, header: front matter and notices. lectures: lecture_id, file, stem, language, language_probability
     (NULL if the language was set), duration_s, duration_after_vad_s, materials (NULL if none). What depends on the clock
-    (time taken, date) is left to the caller."""
+    (time taken, date) is left to the caller. more: other columns of counts that are wanted."""
     course, week, period = T.course(F.col("stem"))
     c = lectures.join(counts, "lecture_id", "left")
     n = lambda k: F.coalesce(k, F.lit(0))
@@ -89,27 +104,59 @@ def header(lectures: DataFrame, counts: DataFrame) -> DataFrame:
         some(n("suspects") > 0, _line("- ⚠ **의심 문단 ", text("suspects"), "개**")),
         some(lost >= K.VAD_NOTICE, _line("- ⚠ **무음 제외 ", T.percent(lost), "%**")),
     )
-    return c.select("lecture_id", lines.alias("header"))
+    return c.select("lecture_id", lines.alias("header"), *more)
+
+
+def _entry(t_s: Column) -> Column:
+    page = F.coalesce(F.concat(F.lit(" · "), "page_label"), F.lit(""))
+    return _line("- `[", T.timestamp(t_s), "]`", page, " ", F.col("title"))
+
+
+def _listing(rows: Column) -> Column:
+    return F.concat(F.array(F.lit(""), F.lit("## 화면 차례"), F.lit("")), F.transform(rows, lambda x: x["line"]))
 
 
 def contents_lines(contents: DataFrame) -> DataFrame:
     """lecture_id, toc: the rendered table of contents."""
-    page = F.coalesce(F.concat(F.lit(" · "), "page_label"), F.lit(""))
-    line = _line("- `[", T.timestamp(F.col("t_s")), "]`", page, " ", F.col("title"))
-    rows = F.array_sort(F.collect_list(F.struct("t_s", "slide_no", line.alias("line"))))
-    return contents.groupBy("lecture_id").agg(F.concat(F.array(F.lit(""), F.lit("## 화면 차례"), F.lit("")), F.transform(rows, lambda x: x["line"])).alias("toc"))
+    rows = F.array_sort(F.collect_list(F.struct("t_s", "slide_no", _entry(F.col("t_s")).alias("line"))))
+    return contents.groupBy("lecture_id").agg(_listing(rows).alias("toc"))
 
 
-def render(lectures: DataFrame, screens: DataFrame, paragraphs: DataFrame, spans: DataFrame, contents: DataFrame) -> DataFrame:
-    """lecture_id, line_no, text: each lecture's document but for the marker line."""
-    rows = blocks(timeline(screens, paragraphs))
-    body = rows.groupBy("lecture_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "rank", "ord", "block"))), lambda x: x["block"])).alias("body"))
+def _document(whole: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
-    whole = header(lectures, summary(screens, paragraphs, spans)).join(contents_lines(contents), "lecture_id", "left").join(body, "lecture_id", "left")
     lines = F.concat("header", F.coalesce("toc", none), F.array(F.lit(""), F.lit("---"), F.lit("")), F.coalesce("body", none))
     return whole.select("lecture_id", F.posexplode(lines).alias("line_no", "text"))
 
 
+def _body() -> Column:
+    return F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start_s", "rank", "ord", "block"))), lambda x: x["block"])).alias("body")
+
+
+def render(lectures: DataFrame, screens: DataFrame, paragraphs: DataFrame, spans: DataFrame, contents: DataFrame) -> DataFrame:
+    """lecture_id, line_no, text: each lecture's document but for the marker line."""
+    body = blocks(timeline(screens, paragraphs)).groupBy("lecture_id").agg(_body())
+    return _document(header(lectures, summary(screens, paragraphs, spans)).join(contents_lines(contents), "lecture_id", "left").join(body, "lecture_id", "left"))
+
+
+def render_timeline(lectures: DataFrame, marked: DataFrame) -> DataFrame:
+    """``render`` of rows of ``screens.marked_timeline``: ends of screens, contents, counts and body come from one pass
+    over each lecture's rows, which are there together already."""
+    is_screen, s, p = F.col("screen").isNotNull(), lambda c: F.col(f"screen.{c}"), lambda c: F.col(f"para.{c}")
+    following = F.lead(s("t_s")).over(Window.partitionBy("lecture_id", is_screen).orderBy(s("t_s"), s("slide_no")))
+    rows = marked.withColumn("following", following).join(lectures.select("lecture_id", "duration_s"), "lecture_id", "left")
+    rows = rows.withColumn("title", F.when(contents_worthy(s("lines"), s("page_label"), F.col("kind")), T.title(s("lines"))))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lecture_id", "title").orderBy(s("t_s"), s("slide_no"))))
+    rows = rows.select(
+        "lecture_id", "screen", "para", "kind", "span", "video", p("suspect").alias("suspect"), p("text").alias("text"), s("lines").alias("lines"), s("page_label").alias("page_label"),
+        F.when(is_screen, s("t_s")).otherwise(p("start_s")).alias("start_s"), F.when(is_screen, 0).otherwise(1).alias("rank"), F.when(is_screen, s("slide_no")).otherwise(p("para_no")).alias("ord"),
+        F.coalesce("following", "duration_s").alias("end_s"), F.when(F.col("nth") == 1, F.col("title")).alias("title"),
+    )
+    listed = F.when(F.col("title").isNotNull(), F.struct(F.col("start_s").alias("t_s"), F.col("ord").alias("slide_no"), _entry(F.col("start_s")).alias("line")))
+    whole = blocks(rows).groupBy("lecture_id").agg(*_counts(), F.sort_array(F.collect_list(listed)).alias("listed"), _body())
+    toc = F.when(F.size("listed") > 0, _listing(F.col("listed")))
+    return _document(header(lectures, whole, toc.alias("toc"), "body"))
+
+
 def marked(rendered: DataFrame, lectures: DataFrame) -> DataFrame:
     """lecture_id, text: each lecture's whole document, ended by the marker line by which the next plan knows it.
     lectures: lecture_id, name, bytes, cfg, pdf. One shuffle by lecture."""
