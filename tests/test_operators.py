@@ -211,3 +211,39 @@ def test_merging_is_a_stream(spark):
     both = two.union(two.withColumn("lecture_id", F.lit(None).cast("string"))).union(two.withColumn("lecture_id", F.lit("k")))
     got = sorted((str(r["lecture_id"]), r["t_s"], r["lines"]) for r in screens.merge_screens(both).collect())
     assert got == [(k, t, x) for k in ("None", "k", "l") for t, x in ((0, ["alpha beta gamma"]), (60, ["delta"]))]
+
+
+def test_timeline_has_one_shuffle_and_the_parts_results(spark):
+    """Labels, flags, counts and documents of random lectures: as from the separate operators, from one shuffle by lecture."""
+    import re
+
+    r = random.Random(5)
+    word = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "Epsilon words"]) for _ in range(n))
+    p, s, t = [], [], {"a": 0.0, "b": 50.0, "c": 7.0}
+    for i in range(150):
+        k = r.choice("aab")
+        t[k] += r.choice([0.1, 3.3, 24.9, 25.0, 60.0])
+        p.append((k, i, t[k], word(4), r.random() < 0.3))
+        s.append((k, i, t[k] + r.choice([0.0, 25.0, -25.0, 11.1]), [word(r.choice([1, 9]))] * r.choice([0, 1, 1, 2]), r.choice([None, "1쪽"])))
+    p.append(("c", 0, 1.0, "alone", True))
+    s.append(("d", 0, 1.0, ["alone too"], None))
+    p = spark.createDataFrame(p, "lecture_id string, para_no int, start_s double, text string, suspect boolean")
+    s = spark.createDataFrame(s, SLIDE + ", page_label string")
+    marked = screens.marked_timeline(screens.timeline(s, p))
+    labelled = screens.label_screens(s, p)
+    near = s.alias("s").join(p.alias("p"), F.expr("s.lecture_id = p.lecture_id AND abs(start_s - t_s) <= 25"), "left").groupBy("s.lecture_id", "slide_no", "lines").agg(F.collect_list("text").alias("said")).collect()
+    words = lambda x: {w for w in " ".join(x).lower().split() if len(w) > 1}
+    want = {(x["lecture_id"], x["slide_no"]): K.SUBTITLE if (sw := words(x["lines"])) and sum(map(len, x["lines"])) <= 90 and len(sw & words(x["said"])) / len(sw) >= 0.6 else K.SLIDE for x in near}
+    assert {(x["lecture_id"], x["slide_no"]): x["kind"] for x in labelled.collect()} == want and set(want.values()) == {K.SUBTITLE, K.SLIDE}
+    spans = screens.video_spans(labelled)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(marked.filter("para IS NOT NULL").select("lecture_id", "para.para_no", "video")) == rows(screens.in_video(p, spans).select("lecture_id", "para_no", "video"))
+    assert rows(marked.filter("span IS NOT NULL").select("lecture_id", "span.*")) == rows(spans.select("lecture_id", "from_s", "to_s"))
+    assert rows(render.timeline_summary(marked)) == rows(render.summary(labelled, p, spans))
+    info = spark.createDataFrame([(k, "f.mp4", "회계 6-1강", "ko", 0.125, 9e3, 30.0, None) for k in "abcde"], "lecture_id string, file string, stem string, language string, language_probability double, duration_s double, duration_after_vad_s double, materials string")
+    parts = render.render(info, screens.screen_ends(labelled, info), screens.in_video(p, spans), spans, screens.contents(labelled))
+    assert rows(render.render_timeline(info, marked)) == rows(parts)
+    for df in (labelled, marked, render.timeline_summary(marked)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # the ends of the union, which come from different tables here
+        assert len(re.findall(r"Exchange hashpartitioning\(lecture_id", plan)) <= 2 and "Join" not in plan
