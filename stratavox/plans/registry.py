@@ -216,6 +216,10 @@ def _labelled(t):
     return screens.label_screens(views.screens(t), _paragraphs(t))
 
 
+def _marked(t):
+    return screens.marked_timeline(screens.timeline(views.screens(t), _paragraphs(t)))
+
+
 @query
 def label_slides(t):
     return _labelled(t).select("lecture_id", _long(F.col("slide_no")).alias("slide_no"), "t_s", "kind")
@@ -233,8 +237,7 @@ def video_spans(t):
 
 @query
 def video_flag(t):
-    p = _paragraphs(t)
-    return screens.in_video(p, screens.video_spans(screens.label_screens(views.screens(t), p))).select("lecture_id", _long(F.col("para_no")).alias("para_no"), "video")
+    return _marked(t).filter(F.col("para").isNotNull()).select("lecture_id", _long(F.col("para.para_no")).alias("para_no"), "video")
 
 
 @query
@@ -244,9 +247,7 @@ def toc(t):
 
 @query
 def lecture_summary(t):
-    p = _paragraphs(t)
-    s = screens.label_screens(views.screens(t), p)
-    return render.summary(s, p, screens.video_spans(s))
+    return render.timeline_summary(_marked(t))
 
 
 @query
@@ -352,10 +353,7 @@ def manifest(t):
 
 
 def _rendered(t):
-    p = _paragraphs(t)
-    s = screens.label_screens(views.screens(t), p)
-    spans = screens.video_spans(s)
-    return render.render(views.info(t), screens.screen_ends(s, views.info(t)), screens.in_video(p, spans), spans, screens.contents(s))
+    return render.render_timeline(views.info(t), _marked(t))
 
 
 @query
