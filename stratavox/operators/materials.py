@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import pairs
 from ..functions import text as T
 
 #: Parts of the documents of one name, each joined by a task of its own.
 _PARTS = 16
+#: Screens that are compared with a lecture's pages at a time, and pages in a block of these.
+_BLOCK = 512
 
 
 def _matched_names(media: DataFrame, materials: DataFrame) -> DataFrame:
@@ -81,72 +85,90 @@ def hot_words(pages: DataFrame, limit: int = K.HOTWORD_CHARS) -> DataFrame:
     return kept.groupBy("lecture_id").agg(F.left(words, F.lit(limit)).alias("words"))
 
 
-def _shares(left: pd.DataFrame, right: pd.DataFrame, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each run of screens, in order: where it begins, their numbers of bigrams, and the shares of them that each page
-    has (screens x pages). The counts are products of incidence matrices, in blocks, so that a lecture of any length takes
-    bounded memory beside its own rows and shares; an equi-join would make a row for each shared bigram."""
-    ids = {g: i for i, g in enumerate(dict.fromkeys(g for k in right["k"] for g in k))}
+def _shares(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of screens and pages with pairs enough: slide_no, numbers of pairs, page_idx (in order), and the shares of a
+    screen's pairs that each page has (screens x pages). The counts are products of incidence matrices; an equi-join would
+    make a row for each shared pair."""
+    mine = [(no, k) for no, x in zip(left["slide_no"].to_pylist(), left["text"]) if len(k := pairs.codes(x.as_py())) >= K.MIN_BIGRAMS]
+    theirs = [(no, k) for no, x in zip(right["page_idx"].to_pylist(), right["text"]) if len(k := pairs.codes(x.as_py()))]
+    theirs.sort(key=lambda x: x[0])
+    known = np.unique(np.concatenate([np.zeros(0, np.uint32), *(k for _, k in theirs)]))
 
-    def incidence(rows: pd.Series) -> np.ndarray:
-        m = np.zeros((len(rows), len(ids)), np.float32)
+    def incidence(rows: list[np.ndarray]) -> np.ndarray:
+        m = np.zeros((len(rows), len(known)), np.float32)
         for i, k in enumerate(rows):
-            m[i, [ids[g] for g in k if g in ids]] = 1
+            m[i, np.searchsorted(known, k[np.isin(k, known, assume_unique=True)])] = 1
         return m
 
-    for x in range(0, len(left), block):
-        some = left["k"].iloc[x : x + block]
-        mine, n = incidence(some), some.map(len).to_numpy()
-        # whole numbers far below 2**24, so exact
-        both = [mine @ incidence(right["k"].iloc[y : y + block]).T for y in range(0, len(right), block)]
-        yield x, n, np.concatenate([np.zeros((len(some), 0)), *both], axis=1).astype(np.float64) / n[:, None]
+    n = np.array([len(k) for _, k in mine], np.int64)
+    a = incidence([k for _, k in mine])
+    # whole numbers far below 2**24, so exact
+    both = [a @ incidence([k for _, k in theirs[y : y + _BLOCK]]).T for y in range(0, len(theirs), _BLOCK)]
+    r = np.concatenate([np.zeros((len(mine), 0)), *both], axis=1).astype(np.float64) / n[:, None]
+    return np.array([no for no, _ in mine], np.int32), n, np.array([no for no, _ in theirs], np.int32), r
 
 
-def _keys(screens: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = screens.select("lecture_id", "slide_no", T.bigrams(F.array_join("lines", " ")).alias("k")).filter(F.size("k") >= K.MIN_BIGRAMS)
-    return s, pages.select("lecture_id", "page_idx", T.bigrams(F.col("text")).alias("k")).filter(F.size("k") > 0)
+def _by_chunk(screens: DataFrame, pages: DataFrame, score: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """score of each chunk of at most _BLOCK successive screens of a lecture with all the lecture's pages: a share hangs on
+    one screen only, so neither a task nor a worker's memory grows with a lecture's length."""
+    utf8 = lambda c: c.cast("binary").alias("text")
+    chunk = F.floor(F.col("slide_no") / _BLOCK).alias("chunk")
+    s = screens.select("lecture_id", chunk, "slide_no", utf8(F.array_join("lines", " ")))
+    chunks = s.select(F.col("lecture_id").alias("l"), F.col("chunk").alias("of")).distinct()
+    p = pages.select("lecture_id", "page_idx", utf8(F.col("text")))
+    p = p.join(chunks, F.col("lecture_id").eqNullSafe(F.col("l"))).drop("l")
+    return s.groupBy("lecture_id", "chunk").cogroup(p.groupBy("lecture_id", "of")).applyInArrow(score, f"lecture_id {screens.schema['lecture_id'].dataType.simpleString()}, {schema}")
 
 
-def containment(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
+def _lecture(left: pa.Table, n: int) -> pa.Array:
+    return left["lecture_id"].take(pa.array([0] * n, pa.int64())).combine_chunks() if n else left["lecture_id"].slice(0, 0).combine_chunks()
+
+
+def containment(screens: DataFrame, pages: DataFrame) -> DataFrame:
     """lecture_id, slide_no, page_idx, n, r: the share r of a screen's n bigrams that a page has. Pages that share none
     don't appear."""
-    s, p = _keys(screens, pages)
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"slide_no": [], "page_idx": [], "n": [], "r": []})]
-        for x, n, r in _shares(left, right, block):
-            i, j = np.nonzero(r)
-            parts.append(pd.DataFrame({"slide_no": left["slide_no"].to_numpy()[x + i], "page_idx": right["page_idx"].to_numpy()[j], "n": n[i], "r": r[i, j]}))
-        out = pd.concat(parts)
-        out.insert(0, "lecture_id", left["lecture_id"].iloc[0] if len(left) else None)
-        return out
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        no, n, page, r = _shares(left, right)
+        i, j = np.nonzero(r)
+        return pa.table({"lecture_id": _lecture(left, len(i)), "slide_no": no[i], "page_idx": page[j], "n": n[i].astype(np.int32), "r": r[i, j]})
 
-    kind = screens.schema["lecture_id"].dataType.simpleString()
-    return s.groupBy("lecture_id").cogroup(p.groupBy("lecture_id")).applyInPandas(score, f"lecture_id {kind}, slide_no int, page_idx int, n int, r double")
+    return _by_chunk(screens, pages, score, "slide_no int, page_idx int, n int, r double")
 
 
-def align(screens: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
+def align(screens: DataFrame, pages: DataFrame) -> DataFrame:
     """screens (lecture_id, slide_no, t_s, lines) with page_label; an aligned screen takes the page's lines, and is left
     out if it repeats the page before it.
 
-    A lecture's shares are worked out together; only the choice, which hangs on the page chosen last, goes screen by
-    screen: the first page of the greatest share, with a bonus for the pages just ahead; it counts if its share without
-    the bonus suffices."""
-    s, p = _keys(screens, pages)
-
-    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("slide_no"), right.sort_values("page_idx")
-        page, no, last, out = right["page_idx"].to_numpy(), left["slide_no"].to_numpy(), None, []
-        for x, n, shares in _shares(left, right, block) if len(right) else ():
-            for i, r in enumerate(shares):
-                adj = r if last is None else r + np.where((page >= last) & (page <= last + K.FORWARD_PAGES), K.FORWARD_BONUS, 0.0)
-                k = int(np.argmax(adj))
-                if r[k] >= (K.SHORT_SHARE if n[i] < K.SHORT_BIGRAMS else K.MATCH_SHARE):
-                    last = page[k]
-                    out.append((no[x + i], last))
-        return pd.DataFrame({"lecture_id": left["lecture_id"].iloc[0] if out else None, "slide_no": [a for a, _ in out], "page_idx": [b for _, b in out]})
+    Shares are worked out chunk by chunk; only the choice, which hangs on the page chosen last, goes screen by screen:
+    the first page of the greatest share, with a bonus for the pages just ahead; it counts if its share without the bonus
+    suffices. For that a chunk passes on the pages that some bonus could make the greatest, of screens that have a page
+    that suffices."""
+
+    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        no, n, page, r = _shares(left, right)
+        need = np.where(n < K.SHORT_BIGRAMS, K.SHORT_SHARE, K.MATCH_SHARE)
+        top = r.max(axis=1, initial=0)
+        i, j = np.nonzero((r >= top[:, None] - K.FORWARD_BONUS * 1.01) & (top >= need)[:, None])
+        return pa.table({"lecture_id": _lecture(left, len(i)), "slide_no": no[i], "page_idx": page[j], "need": need[i], "r": r[i, j]})
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["slide_no", "page_idx"])
+        no, pages, shares, need = (g[c].to_numpy() for c in ("slide_no", "page_idx", "r", "need"))
+        at = np.flatnonzero(np.diff(no, prepend=no[0] - 1, append=no[-1] + 1))
+        last, out = None, []
+        for a, b in zip(at[:-1], at[1:]):
+            page, r = pages[a:b], shares[a:b]
+            adj = r if last is None else r + np.where((page >= last) & (page <= last + K.FORWARD_PAGES), K.FORWARD_BONUS, 0.0)
+            k = int(np.argmax(adj))
+            if r[k] >= need[a]:
+                last = page[k]
+                out.append((no[a], last))
+        return pd.DataFrame({"lecture_id": g["lecture_id"].iloc[0] if out else None, "slide_no": [a for a, _ in out], "page_idx": [b for _, b in out]})
 
     kind = screens.schema["lecture_id"].dataType.simpleString()
-    chosen = s.groupBy("lecture_id").cogroup(p.groupBy("lecture_id")).applyInPandas(choose, f"lecture_id {kind}, slide_no int, page_idx int")
+    some = _by_chunk(screens, pages, candidates, "slide_no int, page_idx int, need double, r double")
+    chosen = some.groupBy("lecture_id").applyInPandas(choose, f"lecture_id {kind}, slide_no int, page_idx int")
     body = F.transform(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: T.strip(x) != ""), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     p = pages.select("lecture_id", "page_idx", F.col("label").alias("page_label"), body.alias("body"))
     out = screens.join(chosen, ["lecture_id", "slide_no"], "left").join(p, ["lecture_id", "page_idx"], "left")
