@@ -247,3 +247,37 @@ def test_timeline_has_one_shuffle_and_the_parts_results(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         # the ends of the union, which come from different tables here
         assert len(re.findall(r"Exchange hashpartitioning\(lecture_id", plan)) <= 2 and "Join" not in plan
+
+
+def test_no_worker_gets_a_whole_lecture(spark, monkeypatch, tmp_path):
+    """Screens of one long lecture are compared with its pages in chunks; shares and choice are those of brute force."""
+    real = materials._shares
+
+    def shares(left, right):
+        assert left.num_rows <= 512
+        return real(left, right)
+
+    monkeypatch.setattr(materials, "_shares", shares)
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh 가나") for _ in range(n))
+    pages = [text(r.choice([1, 9, 40])) for _ in range(30)]
+    lines = [r.choice([text(12), r.choice(pages), r.choice(pages)[:30] + text(9)]) for _ in range(1200)]
+    s = slides(spark, [(30 * i, [x]) for i, x in enumerate(lines)])
+    s = s.union(s.withColumn("lecture_id", F.lit(None).cast("string")).filter("slide_no < 5"))
+    p = spark.createDataFrame([(k, i, f"{i}쪽", t) for i, t in enumerate(pages) for k in ("l", None)], "lecture_id string, page_idx int, label string, text string")
+    cut = lambda x: (lambda f: {f[i : i + 2] for i in range(len(f) - 1)})(x.replace(" ", ""))
+    ks, ps, want, labels, last = [cut(x) for x in lines], [cut(x) for x in pages], {}, {}, None
+    for i, k in enumerate(ks):
+        if len(k) < K.MIN_BIGRAMS:
+            continue
+        share = {j: len(k & q) / len(k) for j, q in enumerate(ps) if q}
+        want |= {(i, j): v for j, v in share.items() if v}
+        adj = {j: v + (K.FORWARD_BONUS if last is not None and last <= j <= last + K.FORWARD_PAGES else 0.0) for j, v in share.items()}
+        best = max(adj, key=lambda j: (adj[j], -j))
+        if share[best] >= (K.SHORT_SHARE if len(k) < K.SHORT_BIGRAMS else K.MATCH_SHARE):
+            last = labels[i] = best
+    got = materials.containment(s, p).collect()
+    assert {(x["slide_no"], x["page_idx"]): x["r"] for x in got if x["lecture_id"]} == want
+    assert {(x["slide_no"], x["page_idx"]) for x in got if not x["lecture_id"]} == {a for a in want if a[0] < 5}
+    shown = {x["slide_no"]: x["page_label"] for x in materials.align(s, p).filter("lecture_id = 'l'").collect()}
+    assert shown == {i: f"{labels[i]}쪽" if i in labels else None for i in range(1200) if i not in labels or labels.get(i - 1) != labels[i]}
