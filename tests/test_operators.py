@@ -157,6 +157,16 @@ def test_render(spark, tmp_path):
     assert (next((tmp_path / "out").glob("lecture_id=l/*.txt"))).read_text() == "\n".join(lines) + "\n"
 
 
+def test_fold_of_paragraphs_has_no_regular_expression(spark):
+    """A text ends as its last segment does, wherever that is cut; so sentences' ends are looked for before the fold."""
+    texts = ["It is 3", ".", "x 3.", "\u2003\u201cend\u201d\u2028", "No. 3.", "a", "!", "3."]
+    rows = [("l", i, 21.0 * i, 21.0 * i + 20.5, t, None, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SEG)
+    assert [r["text"] for r in paragraphs.paragraphs(df).orderBy("para_no").collect()] == ["It is 3 .", "x 3. \u201cend\u201d", "No. 3. a", "!", "3."]
+    fold = [x for x in paragraphs.paragraphs(df)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "aggregate(segs" in x]
+    assert len(fold) == 1 and "RLIKE" not in fold[0] and "regexp" not in fold[0]
+
+
 def test_same_answer_for_any_partitioning(spark):
     rows = [("l%d" % (i % 5), i, float(i), i + 0.8, f"word {i}.", None, None) for i in range(200)]
     df = spark.createDataFrame(rows, SEG)
