@@ -143,19 +143,24 @@ def align(screens: DataFrame, pages: DataFrame) -> DataFrame:
     Shares are worked out chunk by chunk; only the choice, which hangs on the page chosen last, goes screen by screen:
     the first page of the greatest share, with a bonus for the pages just ahead; it counts if its share without the bonus
     suffices. For that a chunk passes on the pages that some bonus could make the greatest, of screens that have a page
-    that suffices."""
+    that suffices, and the numbers of all its screens, so that the choice knows what comes before a screen. Lines are
+    moved twice: to the chunks, and to what was chosen."""
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         no, n, page, r = _shares(left, right)
         need = np.where(n < K.SHORT_BIGRAMS, K.SHORT_SHARE, K.MATCH_SHARE)
         top = r.max(axis=1, initial=0)
         i, j = np.nonzero((r >= top[:, None] - K.FORWARD_BONUS * 1.01) & (top >= need)[:, None])
-        return pa.table({"lecture_id": _lecture(left, len(i)), "slide_no": no[i], "page_idx": page[j], "need": need[i], "r": r[i, j]})
+        every = left["slide_no"].to_numpy().astype(np.int32)
+        none = np.zeros(len(every))
+        columns = {"slide_no": (every, no[i]), "page_idx": (none.astype(np.int32), page[j]), "need": (none, need[i]), "r": (none - 1, r[i, j])}
+        return pa.table({"lecture_id": _lecture(left, len(every) + len(i))} | {k: np.concatenate(x) for k, x in columns.items()})
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["slide_no", "page_idx"])
+        every = np.unique(g["slide_no"])
+        lecture, g = g["lecture_id"].iloc[0], g[g["r"] >= 0].sort_values(["slide_no", "page_idx"])
         no, pages, shares, need = (g[c].to_numpy() for c in ("slide_no", "page_idx", "r", "need"))
-        at = np.flatnonzero(np.diff(no, prepend=no[0] - 1, append=no[-1] + 1))
+        at = np.flatnonzero(np.diff(no, prepend=no[0] - 1, append=no[-1] + 1)) if len(no) else no
         last, out = None, []
         for a, b in zip(at[:-1], at[1:]):
             page, r = pages[a:b], shares[a:b]
@@ -164,14 +169,17 @@ def align(screens: DataFrame, pages: DataFrame) -> DataFrame:
             if r[k] >= need[a]:
                 last = page[k]
                 out.append((no[a], last))
-        return pd.DataFrame({"lecture_id": g["lecture_id"].iloc[0] if out else None, "slide_no": [a for a, _ in out], "page_idx": [b for _, b in out]})
+        chosen = dict(out)
+        before = [chosen.get(every[k - 1]) if k else None for k in np.searchsorted(every, [a for a, _ in out])]
+        return pd.DataFrame({"lecture_id": lecture if out else None, "slide_no": [a for a, _ in out], "page_idx": [b for _, b in out], "before": pd.array(before, "Int32")})
 
     kind = screens.schema["lecture_id"].dataType.simpleString()
     some = _by_chunk(screens, pages, candidates, "slide_no int, page_idx int, need double, r double")
-    chosen = some.groupBy("lecture_id").applyInPandas(choose, f"lecture_id {kind}, slide_no int, page_idx int")
+    chosen = some.groupBy("lecture_id").applyInPandas(choose, f"lecture_id {kind}, slide_no int, page_idx int, before int")
     body = F.transform(F.filter(F.split("text", "\r\n|\r|\n"), lambda x: T.strip(x) != ""), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     p = pages.select("lecture_id", "page_idx", F.col("label").alias("page_label"), body.alias("body"))
-    out = screens.join(chosen, ["lecture_id", "slide_no"], "left").join(p, ["lecture_id", "page_idx"], "left")
-    before = F.lag("page_label").over(Window.partitionBy("lecture_id").orderBy("slide_no"))
-    out = out.withColumn("again", F.coalesce(F.col("page_label") == before, F.lit(False))).filter(~F.col("again"))
+    b = pages.select("lecture_id", F.col("page_idx").alias("before"), F.col("label").alias("label_before"))
+    chosen = chosen.join(p, ["lecture_id", "page_idx"], "left").join(b, ["lecture_id", "before"], "left")
+    chosen = chosen.select("lecture_id", "slide_no", "page_label", "body", F.coalesce(F.col("page_label") == F.col("label_before"), F.lit(False)).alias("again"))
+    out = screens.join(chosen, ["lecture_id", "slide_no"], "left").filter(~F.coalesce("again", F.lit(False)))
     return out.select("lecture_id", "slide_no", "t_s", F.coalesce("body", "lines").alias("lines"), "page_label")

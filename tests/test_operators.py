@@ -291,3 +291,16 @@ def test_no_worker_gets_a_whole_lecture(spark, monkeypatch, tmp_path):
     assert {(x["slide_no"], x["page_idx"]) for x in got if not x["lecture_id"]} == {a for a in want if a[0] < 5}
     shown = {x["slide_no"]: x["page_label"] for x in materials.align(s, p).filter("lecture_id = 'l'").collect()}
     assert shown == {i: f"{labels[i]}쪽" if i in labels else None for i in range(1200) if i not in labels or labels.get(i - 1) != labels[i]}
+
+
+def test_align_moves_lines_twice(spark):
+    """A repeated page is found among the chosen ones, without lines: no window, and no exchange of lines but by chunk and for the result."""
+    import re
+
+    s = slides(spark, [(0, [h(0, 19)]), (30, [h(0, 19)]), (60, ["x"]), (90, [h(0, 19)]), (120, [h(100, 140)]), (150, [h(0, 19)])]).filter("slide_no <> 2")
+    p = spark.createDataFrame([("l", 0, "A", h(0, 19)), ("l", 1, "A", h(100, 140)), ("m", 0, "B", h(0, 19))], "lecture_id string, page_idx int, label string, text string")
+    out = materials.align(s.union(s.withColumn("lecture_id", F.lit("m"))), p)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and len(re.findall("Join", plan)) == 4
+    got = {k: sorted((r["slide_no"], r["page_label"]) for r in out.filter(F.col("lecture_id") == k).collect()) for k in "lm"}
+    assert got == {"l": [(0, "A")], "m": [(0, "B"), (4, None), (5, "B")]}
